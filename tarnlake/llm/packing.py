@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ PART_ROWS = 4096
 GOOD_FILL = 0.998
 MAX_ROUNDS = 8
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "uid long, part long, bin int, offset long, keep boolean, bound int, bins int"
@@ -45,53 +46,48 @@ def _encoder(path: str):
     return WordEncoder(Tokenizer.from_file(path))
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts as little-endian bytes, word by word.
 
     This vocabulary drops white space, lower-cases, and never joins over white space, so a text's ids are its
-    words' ids in a row; a worker remembers those of the words it has met.
+    words' ids in a row. A worker remembers the words it has met. A word of plain Latin letters is one
+    pre-token, which goes to the BPE model itself; punctuation after letters or digits is a pre-token of its
+    own, so the two parts are looked up apart; all else goes through the whole tokenizer.
     """
 
     TRAIL = b".,!?;:*$%&#|"
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def _fresh(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Letters or digits and the punctuation after them are apart in this vocabulary: each is met once."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split, need = {}, set()
-        for w in words:
-            core = w.rstrip(self.TRAIL)
-            if core and core != w and (48 <= core[-1] <= 57 or 97 <= core[-1] <= 122):
-                tail = w[len(core) :]
-                split[w] = (core, tail)
-                need.update(x for x in (core, tail) if x not in self.known)
-            elif w not in self.known:
-                need.add(w)
-        if need:
-            self._fresh(list(need))
-        for w, (a, b) in split.items():
-            self.known[w] = self.known[a] + self.known[b]
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: printable bytes stay
+        other = [b for b in range(256) if b not in kept]
+        self.letters = dict(zip(kept, kept, strict=True)) | {b: 256 + i for i, b in enumerate(other)}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(self.TRAIL)
+        if core and core != word and (48 <= core[-1] <= 57 or 97 <= core[-1] <= 122):
+            found = self[core] + self[word[len(core) :]]
+        else:
+            text = word.decode()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0180" and "\u0130" not in text):
+                found = array("I", [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                found = self.whole(text)
+        self[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        docs = []
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        out = []
         for t in texts:
             raw = t.encode()
-            docs.append(None if b"<|" in raw else raw.lower().split())
-        new = {w for d in docs if d for w in d if w not in self.known}
-        if new:
-            self.learn(new)
-            missing = {w for d in docs if d for w in d if w not in self.known}  # after a clean-out
-            if missing:
-                self.learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, d)) if d is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for d, t in zip(docs, texts, strict=True)]
+            out.append(self.whole(t) if b"<|" in raw else b"".join(map(self.__getitem__, raw.lower().split())))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
