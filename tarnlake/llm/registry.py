@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing",)
+MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality")
 
 
 def _all(kind: str) -> dict:
