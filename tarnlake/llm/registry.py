@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality")
+MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality", "substrings")
 
 
 def _all(kind: str) -> dict:
