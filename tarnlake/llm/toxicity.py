@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tarnlake.session import table
 
 #: Bounds of the sample that the dictionaries and the calibration are fitted on.
-MAX_FIT_ROWS = 6000
-MAX_FIT_CHARS = 20_000
+MAX_FIT_ROWS = 5000
+MAX_FIT_CHARS = 12_000
 ORDINARY_BYTES = 16_000
 TOXIC_BYTES = 8_000
 FOLDS = 5
