@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality", "substrings", "jaccard")
+MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality", "substrings", "jaccard", "embeddings")
 
 
 def _all(kind: str) -> dict:
