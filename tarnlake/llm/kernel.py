@@ -73,7 +73,8 @@ def _run(h: np.ndarray, k: int) -> np.ndarray:
         part = part * step[size // 2] + shift(part, size // 2)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """The words of texts; ``apart`` marks the bytes between words."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -89,7 +90,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if not n:
         z = np.zeros(0, np.int64)
         return Words(data, offsets, z, z, z, np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint64))
-    space = _SPACE[data]
+    space = apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]

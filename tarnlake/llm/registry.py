@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality", "substrings", "jaccard", "embeddings")
+MODULES = ("packing", "toxicity", "urls", "lines", "mixing", "quality", "substrings", "jaccard", "embeddings", "pii")
 
 
 def _all(kind: str) -> dict:
@@ -15,7 +15,9 @@ def _all(kind: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    import corpus_pipeline
+
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -192,6 +192,22 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str
     return docs.select(F.col(by).cast("long").alias(by), F.col(text_col)).mapInArrow(run, f"{by} long, {out} double")
 
 
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text isn't predicted to be toxic; no row moves."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = model.gains() if model else None
+        for b in batches:
+            if not model:
+                yield b
+                continue
+            x = np.array([features(gain, _words(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3)
+            yield b.filter(pa.array(model.weights[0] + x @ np.array(model.weights[1:]) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit_sample(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
