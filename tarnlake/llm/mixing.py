@@ -28,7 +28,7 @@ SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
 #: Documents of a source whose offsets are summed in one task.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 #: Primes under 2**20. Of these, at most two divide a number under 2**42.
 PRIMES = (1048573, 1048571, 1048559, 1048549, 1048517, 1048507)
 WORD = r"[^\x20\x09-\x0D]+"
