@@ -106,7 +106,8 @@ def taken_spans(docs: DataFrame, share: float = SHARE, block: int = BLOCK, shard
     parts = d.select("*", F.explode_outer(numbers).alias("block"))
     begin = F.greatest(F.col("at"), F.col("block") * block)
     parts = parts.withColumn("from", begin - F.col("at")).withColumn("n", F.least(end, (F.col("block") + 1) * block) - begin)
-    return parts.join(slots(sources, block, shard_slots), ["sid", "block"], "left")
+    # The planner takes the slots for as few as the sources that they are made of; they grow with the words.
+    return parts.join(slots(sources, block, shard_slots).hint("merge"), ["sid", "block"], "left")
 
 
 def mix(docs: DataFrame, share: float = SHARE, **cols: str) -> DataFrame:
