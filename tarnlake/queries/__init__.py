@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from tarnlake.queries import embeddings
+
+MODULES = (embeddings,)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
