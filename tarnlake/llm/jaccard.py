@@ -3,12 +3,14 @@
 Documents with one shingle set are one class. A class' shingles are ordered by how many documents have them (a
 count over the whole corpus, in steps of a quarter power of two, then by hash), rare ones first; two sets of
 Jaccard similarity t share a shingle among the first n - ceil(t * n) + 1 of each. Classes of identical prefix and size
-are one group. Groups meet in the token index; pairs must fit by size and by position, are expanded to
-members, and are verified on whole sets.
+are one group. Groups meet in the token index; pairs must fit by size, by position and by a parity sketch (a lower
+bound on their difference), are expanded to members, and are verified on whole sets.
 
 Only links that join two components matter for the result, so the index is read twice. First each group meets the
-least group of its token and size class, and members meet their group's least member: a token of m groups gives
-m pairs, not m * m. Then only tokens whose classes are still in different components are expanded to pairs, and
+hubs of its token and size class and of the next classes, and members meet their group's least member: a token of m
+groups gives 3 * m pairs at most, not m * m. A hub is the group with the least share of shingles that no other
+document has: in a group of edited copies, the text they were made from. Tokens whose classes are still in different
+components meet their next HUBS hubs. Then only tokens whose classes are still in different components are expanded to pairs, and
 only pairs over two components: every link that is not yet implied is found there, without a limit.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. With fewer than five words the whole sequence is the one
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.blocks import MESSAGE, NO_ID, by_bucket, dumps, messages, per_block, per_bucket, planes, to_blocks, unplanes
@@ -36,6 +38,10 @@ WORDS = 5
 PERCENT = 80
 #: Bits of a shingle's hash by which document counts are kept; a clash only changes the order.
 COUNT_BITS = 40
+#: Bits of a set's parity sketch: how often shingles fall on a bit, odd or even.
+SKETCH_BITS = 512
+#: Hubs that a token's sets meet where the first one left them in different components.
+HUBS = 8
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +92,7 @@ def _counts(got):
             yield block, (own,)
 
 
-_INFO = "doc_id long, n long, h1 long, h2 long, prefix array<long>, at array<int>, shared binary"
+_INFO = "doc_id long, n long, h1 long, h2 long, prefix array<long>, at array<int>, shared binary, sketch array<long>"
 
 
 def _sets(buckets: int, percent: int):
@@ -111,7 +117,9 @@ def _sets(buckets: int, percent: int):
         chosen[order] = (at < length[doc]) & (s[order] > 0)
         place = np.empty(len(h), np.int32)
         place[order] = at
-        prefix, places, shared, seen = [None] * len(n), [None] * len(n), [None] * len(n), set()
+        prefix, places, shared, sketch, seen = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n), set()
+        odd = np.bincount(doc * SKETCH_BITS + (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
+        odd = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
         for d in np.flatnonzero(np.bincount(doc[chosen], minlength=len(n))) if len(h) else ():
             if (key := (n[d], h1[d], h2[d])) in seen:
                 continue  # a copy in this block; the first has the least id
@@ -119,8 +127,8 @@ def _sets(buckets: int, percent: int):
             a, b = begin[d], begin[d + 1]
             c = chosen[a:b]
             prefix[d], places[d] = h[a:b][c].view(np.int64), place[a:b][c]
-            shared[d] = h[a:b][s[a:b] > 0].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(shared, pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "at", "shared"])
+            shared[d], sketch[d] = h[a:b][s[a:b] > 0].tobytes(), odd[d]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(shared, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "prefix", "at", "shared", "sketch"])
 
     return ask
 
@@ -144,8 +152,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _fits(percent: int, na: str, nb: str):
-    return F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
+def _fits(percent: int):
+    """Sizes fit, and so do places: what two sets can share from their first common shingle on is enough. The rows
+    of later common shingles may fail; that of the first one doesn't for a pair that is similar enough. And the
+    parity sketches fit: they differ in no more bits than the sets differ in shingles."""
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    by_place = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & by_place & (differ <= F.col("na") + F.col("nb") - 2 * need)
+
+
+def _size_class(percent: int):
+    """Sizes that fit are in one class or in neighbouring ones."""
+    return F.floor(F.log("n") / math.log(100 / percent))
+
+
+def _hub_pairs(tokens: DataFrame, hubs: int) -> DataFrame:
+    """Rows of the token index (b ..) with the best hubs (a ..) of their token in their size class and the next ones."""
+    order = Window.partitionBy("token", "size").orderBy("rare", "rep")
+    best = tokens.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs)  # cut before rows move
+    near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")
+    best = materialize(best.select("token", near, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("sketch").alias("sa"), F.col("c").alias("ca")), f"hubs{hubs}")
+    return tokens.withColumnsRenamed({"rep": "b", "n": "nb", "at": "pb", "sketch": "sb", "c": "cb"}).join(best, ["token", "size"])
+
+
+def _mixed(tokens: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """The token index with components (c), and the tokens that are in more than one."""
+    found = connected_components(links).withColumnRenamed("node", "rep")
+    named = materialize(tokens.join(found, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), f"named-tokens{step}")
+    mixed = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    return named, materialize(mixed, f"mixed-tokens{step}")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,26 +192,26 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     key = ["n", "h1", "h2"]
     classes = materialize(info.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     own = info.where("prefix is not null").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = materialize(own.select(F.col("doc_id").alias("rep"), "n", "prefix", "at", "shared", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).dropDuplicates(["rep"]), "sets")
+    rare = (F.col("n") - F.octet_length("shared") / 8) / F.col("n")
+    sets = materialize(own.select(F.col("doc_id").alias("rep"), "n", rare.alias("rare"), "prefix", "at", "shared", "sketch", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).dropDuplicates(["rep"]), "sets")
     groups = materialize(sets.groupBy("n", "p1", "p2").agg(F.min("rep").alias("leader"), F.count("*").alias("members")), "groups")
     member = sets.select("rep", "n", "p1", "p2").join(groups.where("members > 1"), ["n", "p1", "p2"]).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    tokens = sets.select("rep", "n", F.explode(F.arrays_zip("prefix", "at")).alias("t")).select("rep", "n", F.col("t.prefix").alias("token"), F.col("t.at").alias("at"))
+    tokens = sets.select("rep", "n", "rare", "sketch", F.explode(F.arrays_zip("prefix", "at")).alias("t")).select("rep", "n", "rare", "sketch", F.col("t.prefix").alias("token"), F.col("t.at").alias("at"))
     tokens = materialize(tokens, "tokens")
-    lead = tokens.join(groups.select(F.col("leader").alias("rep")), "rep", "left_semi").withColumn("size", F.floor(F.log("n") / math.log(100 / percent)))
-    hubs = materialize(lead.groupBy("token", "size").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "size", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na")), "hubs")
-    star = lead.join(hubs, ["token", "size"]).where(F.col("rep") != F.col("a")).where(_fits(percent, "n", "na")).select("a", F.col("rep").alias("b"))
+    lead = tokens.join(groups.select(F.col("leader").alias("rep")), "rep", "left_semi").withColumn("size", _size_class(percent))
+    star = _hub_pairs(lead.withColumn("c", F.col("rep")), 1).where("a <> b").where(_fits(percent)).select("a", "b")
     tried = materialize(star.unionByName(member).distinct(), "star-pairs")
     links = materialize(_verified(tried, sets, percent), "star-links")
-    first = connected_components(links).withColumnRenamed("node", "rep")
-    named = materialize(tokens.join(first, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "named-tokens")
-    mixed = materialize(named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"), "mixed-tokens")
+    named, mixed = _mixed(tokens, links, 0)
+    again = _hub_pairs(named.join(mixed, "token").withColumn("size", _size_class(percent)), HUBS).where("ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+    again = materialize(again, "more-pairs")
+    links = materialize(links.unionByName(_verified(again, sets, percent)), "more-links")
+    named, mixed = _mixed(tokens, links, 1)
     m = named.join(mixed, "token")
-    x = m.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"))
-    y = m.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    by_place = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= need
-    cross = x.join(y, "token").where("a < b and ca <> cb").where(_fits(percent, "na", "nb")).where(by_place).select("a", "b").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    x = m.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
+    y = m.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
+    cross = x.join(y, "token").where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+    done = tried.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialize(cross.join(done, ["a", "b"], "left_anti"), "cross-pairs")
     links = links.unionByName(_verified(cross, sets, percent))
     label = connected_components(links).select(F.col("node").alias("rep"), "component")
