@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.kernel import release
 from tarnlake.session import materialize
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 20_000
 #: Blocks that share a bucket, about.
-BLOCKS_A_BUCKET = 4
+BLOCKS_A_BUCKET = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -95,6 +96,8 @@ def per_block(blocks: DataFrame, ask: Callable, schema: str, reply: DataFrame |
                 ids, texts = read_block(b.column(1)[i])
                 own = {r["bucket"]: loads(r["blob"]) for r in (b.column(2)[i].as_py() or [])} if b.num_columns > 2 else {}
                 yield from ask(b.column(0)[i].as_py(), ids, texts, own)
+                del ids, texts, own
+            release()
 
     return source.mapInArrow(run, schema)
 
@@ -113,6 +116,9 @@ def per_bucket(sent: DataFrame, answer: Callable) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
         got = [(k, loads(v)) for k, v in sorted(zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True))]
-        return pa.Table.from_batches([messages([(bucket, k, dumps(*arrays)) for k, arrays in answer(got)])])
+        out = pa.Table.from_batches([messages([(bucket, k, dumps(*arrays)) for k, arrays in answer(got)])])
+        del got
+        release()
+        return out
 
     return sent.groupBy("bucket").applyInArrow(run, MESSAGE)

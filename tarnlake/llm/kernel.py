@@ -6,6 +6,8 @@ arrays of bytes or words, so no Python statement runs per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -112,6 +114,13 @@ def words_of(texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -
     return Words(data, offsets, start, end, doc, first, mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64)))
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers are kept and serve operators of other needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of text."""
     for batch in batches:
@@ -122,3 +131,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield batch.slice(a, b - a)
+    release()
