@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnlake.queries import embeddings
+from tarnlake.queries import documents, embeddings, splits
 
-MODULES = (embeddings,)
+MODULES = (embeddings, documents, splits)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:
