@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnlake.queries import documents, embeddings, splits
+from tarnlake.queries import documents, embeddings, reports, splits
 
-MODULES = (embeddings, documents, splits)
+MODULES = (embeddings, documents, splits, reports)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:
