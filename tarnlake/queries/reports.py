@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
-from tarnlake.operators import knn, lake, metrics, reports
+from tarnlake.operators import knn, lake, metrics, reports, segmentation
 from tarnlake.queries import embeddings as E
 from tarnlake.session import materialize, table
 from tarnlake.streaming.jobs import batch_stream_table
@@ -140,6 +140,22 @@ def rule_of_three(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(reports.rule_of_three(F.count("*")).alias("bound"))
 
 
+@query("seg_overlap", """WITH p AS (SELECT l_orderkey AS image, CAST(l_discount >= CAST(0.05 AS DOUBLE) AS BIGINT) AS a, CAST(l_tax >= CAST(0.04 AS DOUBLE) AS BIGINT) AS b FROM lineitem),
+s AS (SELECT image, sum(a) AS a, sum(b) AS b, sum(a * b) AS c FROM p GROUP BY image)
+SELECT image, round(CASE WHEN a + b = 0 THEN 1 ELSE 2 * c / (a + b) END, 6) AS dice, round(CASE WHEN a + b = 0 THEN 1 ELSE c / (a + b - c) END, 6) AS iou FROM s""")
+def seg_overlap(spark, sf):
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_discount") >= 0.05).cast("double").alias("p"), (F.col("l_tax") >= 0.04).cast("int").alias("gt"))
+    return segmentation.overlap(p).select("image", R6("dice").alias("dice"), R6("iou").alias("iou"))
+
+
+@query("seg_mean", """WITH p AS (SELECT l_orderkey AS image, CAST(l_discount >= CAST(0.05 AS DOUBLE) AS BIGINT) AS a, CAST(l_tax >= CAST(0.04 AS DOUBLE) AS BIGINT) AS b FROM lineitem),
+s AS (SELECT image, sum(a) AS a, sum(b) AS b, sum(a * b) AS c FROM p GROUP BY image)
+SELECT round(avg(CASE WHEN a + b = 0 THEN 1 ELSE 2 * c / (a + b) END), 6) AS dice, round(avg(CASE WHEN a + b = 0 THEN 1 ELSE c / (a + b - c) END), 6) AS miou FROM s""")
+def seg_mean(spark, sf):
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_discount") >= 0.05).cast("double").alias("p"), (F.col("l_tax") >= 0.04).cast("int").alias("gt"))
+    return segmentation.mean_overlap(p).select(R6("dice").alias("dice"), R6("miou").alias("miou"))
+
+
 # --- schedules ------------------------------------------------------------------------------------------------------
 
 
