@@ -1,7 +1,9 @@
 """Connected components of an edge table, by contraction.
 
-In each round every node points at its smallest neighbour (or itself), nodes are replaced by what they point at,
-and edges within one node go. The smallest node of a component never moves, so it ends as the component's label.
+In each round every node points at its smallest neighbour (or itself), pointers are followed to their ends by
+doubling, nodes are replaced by these ends, and edges within one node go. Every node with an edge left is gone or has taken
+one in, so the nodes at least halve in each round, also on long paths. The smallest node of a component never
+moves, so it ends as the component's label.
 Every step is a partial aggregation or an equi-join; nothing is collected but the number of edges left.
 """
 
@@ -15,6 +17,16 @@ from tarnlake.session import materialize
 MAX_ROUNDS = 60
 
 
+def _ends(to: DataFrame) -> DataFrame:
+    """Pointers (node, to) followed to the nodes that point at themselves."""
+    while True:
+        following = to.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        onward = materialize(to.join(following, "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "ends")
+        to = onward.select("node", "to")
+        if onward.where("moved").isEmpty():
+            return to
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -26,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        to = materialize(to, f"pointers{r}")
+        to = _ends(materialize(to, f"pointers{r}"))
         if labels is None:
             labels = to
         else:
@@ -34,6 +46,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = materialize(labels.join(following, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"labels{r}")
         left = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         e = materialize(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges{r}")
+    else:
+        raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
     return labels.select("node", F.col("to").alias("component"))

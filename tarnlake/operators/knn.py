@@ -74,14 +74,15 @@ def knn_join(query: DataFrame, reference: DataFrame, k: int, broadcast_rows: int
         blocks = -(-n // block_rows)
         parts = max(1, -(-q.count() // block_rows))
         left = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        right = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        right = r.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "y", "v")])  # new names: both sides may come from one table
+        right = right.withColumn("block", F.pmod(F.xxhash64("r_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
         def both(a: pa.Table, b: pa.Table) -> pa.Table:
             if not a.num_rows or not b.num_rows:
                 return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("y", pa.int32()), ("ref_id", pa.int64()), ("ref_y", pa.int32()), ("sim", pa.float64()))})
             a, b = a.combine_chunks(), b.combine_chunks()
-            v = lambda t: unit_rows(t.column("v").chunk(0))
-            return pa.Table.from_batches(_neighbours(a.column("id").to_numpy(), a.column("y").to_numpy(), v(a), b.column("id").to_numpy(), b.column("y").to_numpy(), v(b), k))
+            v = lambda t, c: unit_rows(t.column(c).chunk(0))
+            return pa.Table.from_batches(_neighbours(a.column("id").to_numpy(), a.column("y").to_numpy(), v(a, "v"), b.column("r_id").to_numpy(), b.column("r_y").to_numpy(), v(b, "r_v"), k))
 
         found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(both, _SCHEMA)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "ref_id"))

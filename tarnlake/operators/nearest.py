@@ -22,10 +22,12 @@ def nearest_distance(rows: DataFrame, cap: int = 32, block_rows: int = BLOCK_ROW
     cut = F.pmod(F.xxhash64("hash"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     left = unique.select("hash", cut.alias("p")).withColumn("q", every)
-    right = unique.select("hash", cut.alias("q")).withColumn("p", every)
+    right = unique.select(F.col("hash").alias("other"), cut.alias("q")).withColumn("p", every)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = a.column("hash").to_numpy().view(np.uint64), b.column("hash").to_numpy().view(np.uint64)
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"hash": a.column("hash") if a.num_rows else pa.array([], pa.int64()), "d": pa.array(np.full(a.num_rows, cap, np.int64))})
+        x, y = a.column("hash").to_numpy().view(np.uint64), b.column("other").to_numpy().view(np.uint64)
         d = np.full(len(x), cap, np.int64)
         for s in range(0, len(x), 256):
             if len(y):

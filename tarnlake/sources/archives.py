@@ -57,12 +57,13 @@ def members(path: str) -> Iterator[tuple[str, int, bytes | None]]:
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path.removeprefix("file://")
-
-    def partitions(self) -> list[Archive]:
         found = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs)
         if any(p.lower().endswith(".7z") for p in found):
             raise NotImplementedError("7z archives are not supported: no codec is available")
-        return [Archive(p) for p in found if p.lower().endswith(KINDS)] or [Archive("")]
+        self.found = [p for p in found if p.lower().endswith(KINDS)]
+
+    def partitions(self) -> list[Archive]:
+        return [Archive(p) for p in self.found] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         if partition.path:
