@@ -15,18 +15,23 @@ from tarnlake.llm import jaccard, lines, mixing, packing, toxicity
 from tarnlake.session import materialize, table
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit_sample(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.dedup_lines(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleaned = lines.dedup_lines(docs, names=("__lines_in", "__lines_out"))
+    n_chars = F.when(F.col("__lines_out") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*_own(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(materialize(found, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(found, "copies"), "doc_id", "left_anti").select(*_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,17 +44,21 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return hot.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("bad"))
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with the text cleaned, and columns n_lines and n_dropped after its own."""
-    own = [c for c in pages.columns]
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``pages`` with the text cleaned, and the counts of lines and dropped lines after its own columns.
+
+    Columns of the input that are called as the counts give way; other extra columns stay.
+    """
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in names]
     bad = materialize(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
     joined = pages.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
     marked = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(x.alias("line"), (_full(x) & F.coalesce(F.array_contains(F.col("__bad"), _digest(x)), F.lit(False))).alias("bad"), _full(x).alias("full")))
     lines = joined.withColumn("__lines", marked)
-    lines = lines.withColumn("n_lines", F.coalesce(F.size(F.filter("__lines", lambda x: x.full)), F.lit(0)).cast("long")).withColumn("__n", F.size(F.filter("__lines", lambda x: x.bad)))
-    drop = F.coalesce((F.col("__n") > 0) & (2 * F.col("__n") <= F.col("n_lines")), F.lit(False))
+    lines = lines.withColumn("__all", F.coalesce(F.size(F.filter("__lines", lambda x: x.full)), F.lit(0))).withColumn("__n", F.size(F.filter("__lines", lambda x: x.bad)))
+    drop = F.coalesce((F.col("__n") > 0) & (2 * F.col("__n") <= F.col("__all")), F.lit(False))
     cleaned = F.when(drop, F.array_join(F.transform(F.filter("__lines", lambda x: ~x.bad), lambda x: x.line), "\n")).otherwise(F.col(text))
-    return lines.withColumn("n_dropped", F.when(drop, F.col("__n")).otherwise(0).cast("long")).withColumn(text, cleaned).select(*own, F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_dropped")
+    lines = lines.withColumn("__dropped", F.when(drop, F.col("__n")).otherwise(0).cast("long")).withColumn("__all", F.when(F.col(text).isNull(), 0).otherwise(F.col("__all")).cast("long"))
+    return lines.withColumn(text, cleaned).select(*own, F.col("__all").alias(names[0]), F.col("__dropped").alias(names[1]))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

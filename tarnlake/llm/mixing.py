@@ -118,16 +118,18 @@ def mix(docs: DataFrame, share: float = SHARE, **cols: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that the mix takes words of, with the text it takes: a pass that takes all words takes the
-    text as it is, else the words joined by blanks; a second pass follows in a new line."""
+    text as it is, else the words joined by blanks; a second pass follows in a new line. Rows of one id and size
+    all get the words that the first of them is taken for."""
     spans = taken_spans(docs.select("doc_id", "source", "text"), share).where(F.col("pass").isNotNull())
-    each = spans.groupBy("doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "n"))).alias("cut"), F.sum("n").alias("words"))
-    own = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pass", "cut", (F.col("words") >= F.col("size")).alias("whole")))).alias("__passes"))
+    each = spans.groupBy("row", "doc_id", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "n"))).alias("cut"), F.sum("n").alias("words"))
+    rows = each.groupBy("row", "doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("pass", "cut", (F.col("words") >= F.col("size")).alias("whole")))).alias("passes"))
+    own = rows.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.min_by("passes", "row").alias("__passes"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = docs.join(own, "doc_id").withColumn("__words", words)
+    wide = docs.withColumn("__words", words)
+    joined = wide.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.size("__words") == F.col("__size")))
     text_of = lambda p: F.when(p.whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform(p.cut, lambda c: F.slice("__words", (c["from"] + 1).cast("int"), c.n.cast("int")))), " "))
-    text = F.array_join(F.transform("__passes", text_of), "\n")
-    out = joined.withColumn("text", text)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = joined.withColumn("text", F.array_join(F.transform("__passes", text_of), "\n"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ calibrated to a score by logistic regression on the labelled training rows.
 
 The labels are a bounded sample (``MAX_FIT_ROWS`` rows by the order of a hash of the id, ``MAX_FIT_CHARS``
 characters of each); every text is scored whole. Without both labels in the sample every score is 0. A null text counts as
-empty and has gain 0. Repeated rows get the same score. Labels, language, source and id are no inputs.
+empty and has gain 0. Repeated rows get the same score. A null id isn't held out. Labels, language, source and id are no inputs.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit_sample(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
