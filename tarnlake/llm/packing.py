@@ -32,7 +32,7 @@ PART_ROWS = 4096
 GOOD_FILL = 0.998
 MAX_ROUNDS = 8
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "uid long, part long, bin int, offset long, keep boolean, bound int, bins int"

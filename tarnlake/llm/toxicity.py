@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.kernel import release
+from tarnlake.llm.kernel import slices
 from tarnlake.session import table
 
 #: Bounds of the sample that the dictionaries and the calibration are fitted on.
@@ -37,7 +37,7 @@ FOLDS = 5
 TYPICAL_Z = 8.0
 TYPICAL_SUPPORT = 6
 PIECES = (5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 EDGE = b".,!?;:*$%&#|\"'()"
 
 _SECOND = bytes((i * 7 + 131) % 256 for i in range(256))
@@ -182,14 +182,13 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = model.gains() if model else None
-        for b in batches:
+        for b in slices(batches, text_col):
             if model:
                 x = np.array([features(gain, _words(t)) for t in b.column(1).to_pylist()]).reshape(-1, 3)
                 s = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
             else:
                 s = np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=[by, out])
-        release()
 
     return docs.select(F.col(by).cast("long").alias(by), F.col(text_col)).mapInArrow(run, f"{by} long, {out} double")
 
@@ -200,13 +199,12 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = model.gains() if model else None
-        for b in batches:
+        for b in slices(batches, text_col):
             if not model:
                 yield b
                 continue
             x = np.array([features(gain, _words(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3)
             yield b.filter(pa.array(model.weights[0] + x @ np.array(model.weights[1:]) < 0))
-        release()
 
     return docs.mapInArrow(run, docs.schema)
 
