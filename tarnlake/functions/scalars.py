@@ -185,6 +185,19 @@ def layer_norm(v: Column, eps: float = 1e-5) -> Column:
     return F.transform(v, lambda x: (x - mean) / F.sqrt(var + eps))
 
 
+def mean_pool(tokens: Column) -> Column:
+    """Mean of an array of equally long vectors."""
+    n = F.size(tokens)
+    total = F.reduce(F.slice(tokens, 2, n - 1), F.element_at(tokens, 1), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / n)
+
+
+def coded(x: Column, codes: dict[str, int], other: int = -1) -> Column:
+    """The small code of a value, ``other`` for one that has none."""
+    pairs = [F.lit(v) for kv in codes.items() for v in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), x), F.lit(other)).cast("tinyint")
+
+
 def softmax(z: Column) -> Column:
     e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
     return F.transform(e, lambda x: x / array_sum(e))

@@ -92,3 +92,14 @@ def bootstrap_rates(units: DataFrame, hits: str, total: str, key: str, resamples
         p /= k
     w = u.withColumn("w", weight)
     return w.groupBy("b").agg((F.sum(F.col("w") * F.col(hits)) / F.nullif(F.sum(F.col("w") * F.col(total)), F.lit(0))).alias("rate"))
+
+
+def redundancy_rollup(rows: DataFrame, archive: str, digest: str) -> DataFrame:
+    """(archive, n, redundant, rate) of exact repeats inside each archive."""
+    per = rows.groupBy(archive, digest).agg(F.count("*").alias("m"))
+    return per.groupBy(archive).agg(F.sum("m").alias("n"), F.sum(F.col("m") - 1).alias("redundant")).withColumn("rate", F.col("redundant") / F.col("n"))
+
+
+def histogram_sum(rows: DataFrame, histogram: str) -> DataFrame:
+    """(bin, n): the element-wise sum of histograms kept as arrays."""
+    return rows.select(F.posexplode(histogram).alias("bin", "x")).groupBy("bin").agg(F.sum("x").alias("n"))

@@ -115,3 +115,20 @@ def size_mismatch(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(name, local_size, remote_size) of files on both sides whose sizes differ."""
     r = remote.select("name", F.col("size").alias("remote_size"))
     return local.select("name", F.col("size").alias("local_size")).join(r, "name").where("local_size <> remote_size")
+
+
+def sampled_stream(rows: DataFrame, shard: str, key: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, shard, key): shards drawn with replacement, each read in seeded order; a shard may be drawn again or never.
+
+    The shard list is short: draws meet it by number.
+    """
+    spark = rows.sparkSession
+    shards = rows.select(shard).distinct().withColumn("_i", F.row_number().over(Window.orderBy(shard)) - 1)
+    n = shards.count()
+    picks = spark.range(draws).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(S.seeded_order(seed, F.col("id")), 1, 12), 16, 10).cast("long"), F.lit(max(1, n))).alias("_i"))
+    return picks.join(shards, "_i").join(rows.select(shard, key), shard).withColumn("pos", F.row_number().over(Window.partitionBy("draw").orderBy(S.seeded_order(seed, F.col("draw"), F.col(key)), key))).select("draw", "pos", shard, key)
+
+
+def first_paths(files: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` files by path."""
+    return files.orderBy("path").limit(cap)

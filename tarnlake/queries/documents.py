@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
 from tarnlake.operators import lake
-from tarnlake.operators.reports import storage
+from tarnlake.operators.reports import histogram_sum, redundancy_rollup, storage
 from tarnlake.operators.splits import size_mismatch
 from tarnlake.session import table
 
@@ -225,6 +225,23 @@ def file_kinds(spark, sf):
     return d.groupBy("kind").agg(F.count("*").alias("n"), F.round(S.egress_cost(F.sum("n_chars")), 9).alias("cost"))
 
 
+@query("redundancy_rollup", M + ", p AS (SELECT shard, phash, count(*) AS c FROM m GROUP BY shard, phash), r AS (SELECT shard, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS redundant FROM p GROUP BY shard) SELECT shard, n, redundant, round(redundant / n, 6) AS rate FROM r")
+def redundancy_per_shard(spark, sf):
+    return redundancy_rollup(manifest(spark, sf), "shard", "phash").select("shard", "n", "redundant", F.round("rate", 6).alias("rate"))
+
+
+@query("histogram_sum", "SELECT CAST(b AS INTEGER) AS bin, count(*) FILTER (n_chars // 1000 = b) AS n FROM documents CROSS JOIN range(4) r(b) GROUP BY b")
+def histogram_total(spark, sf):
+    """Histograms per source, kept as arrays, then summed element by element."""
+    d = table(spark, sf, "documents").groupBy("source").agg(F.array(*[F.count_if(F.floor(F.col("n_chars") / 1000) == b) for b in range(4)]).alias("h"))
+    return histogram_sum(d, "h")
+
+
+@query("coded_modes", "SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE -1 END AS TINYINT) AS code FROM documents")
+def coded_modes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", S.coded(F.col("lang"), {"en": 0, "de": 1}).alias("code"))
+
+
 @query("top_lengths", "SELECT n_chars, count(*) AS n FROM documents GROUP BY n_chars ORDER BY n DESC, n_chars LIMIT 12")
 def top_lengths(spark, sf):
     return table(spark, sf, "documents").groupBy("n_chars").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "n_chars").limit(12)

@@ -291,6 +291,12 @@ def layernorm_pool(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", R6(F.element_at(n, 1)).alias("first"), R6(F.element_at(n, 64)).alias("last"))
 
 
+@query("token_pool", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[5] AS DOUBLE)) / 2, 6) AS first FROM embeddings")
+def token_pool(spark, sf):
+    v = S.doubles(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", R6(F.element_at(S.mean_pool(F.array(F.slice(v, 1, 4), F.slice(v, 5, 4))), 1)).alias("first"))
+
+
 @query("softmax_rows", """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE))) AS v FROM embeddings)
 SELECT vec_id, round(v[1] / list_sum(v), 6) AS p FROM e""")
 def softmax_rows(spark, sf):

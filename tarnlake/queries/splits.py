@@ -102,6 +102,12 @@ def support_query(spark, sf):
     return splits.support_query(vectors(spark, sf).select("id"), "id", 40)
 
 
+@query("sampled_stream", """WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)), d AS (SELECT r.id AS draw, CAST('0x' || substr(md5('0:' || r.id), 1, 12) AS BIGINT) % (SELECT count(*) FROM s) AS i FROM range(6) r(id))
+SELECT draw, source, count(*) AS n FROM d JOIN s USING (i) JOIN documents USING (source) GROUP BY draw, source""")
+def sampled_stream(spark, sf):
+    return splits.sampled_stream(table(spark, sf, "documents"), "source", "doc_id", 6).groupBy("draw", "source").agg(F.count("*").alias("n"))
+
+
 @query("label_left_join_fallback", "SELECT doc_id, coalesce('q' || quality, CASE WHEN lang = 'en' THEN 'lang-en' END) AS finding FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce('q' || quality, CASE WHEN lang = 'en' THEN 'lang-en' END) IS NOT NULL")
 def label_left_join_fallback(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("finding"))
