@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.kernel import slices
+from tarnlake.llm.kernel import release, slices
 from tarnlake.session import table
 
 #: Bounds of the sample that the dictionaries and the calibration are fitted on.
-MAX_FIT_ROWS = 5000
-MAX_FIT_CHARS = 12_000
+MAX_FIT_ROWS = 4000
+MAX_FIT_CHARS = 10_000
 ORDINARY_BYTES = 16_000
 TOXIC_BYTES = 8_000
 FOLDS = 5
@@ -102,7 +102,7 @@ def _typical(texts: list[tuple[list[bytes], int]]) -> list[bytes]:
     A word counts once for each pair of neighbours, so copies of a text add nothing.
     """
     seen: set = set()
-    words, pieces, total = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    words, total = (Counter(), Counter()), [0, 0]
     for ws, y in texts:
         p = [b"", *ws, b""]
         for a, w, b in zip(p, p[1:], p[2:], strict=False):
@@ -111,11 +111,18 @@ def _typical(texts: list[tuple[list[bytes], int]]) -> list[bytes]:
                 seen.add(k)
                 words[y][window(w)] += 1
                 total[y] += 1
+    del seen
     cut = lambda x: {x[i : i + n] for n in PIECES for i in range(len(x) - n + 1)}
-    for y in (0, 1):
-        for w, c in words[y].items():
-            for piece in cut(w):
-                pieces[y][piece] += c
+    toxic: Counter = Counter()
+    for w, c in words[1].items():
+        for piece in cut(w):
+            toxic[piece] += c
+    pieces = (Counter(), Counter({p: c for p, c in toxic.items() if c >= TYPICAL_SUPPORT}))
+    del toxic
+    for w, c in words[0].items():
+        for piece in cut(w):
+            if piece in pieces[1]:
+                pieces[0][piece] += c
     share = total[1] / max(1, total[0] + total[1])
 
     def z(piece: bytes) -> float:
@@ -159,6 +166,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model | None:
     gain = model.gains()
     x, y = np.array([features(gain, ws) for ws, _ in texts]), np.array([y for _, y in texts], float)
     model.weights = tuple(float(v) for v in _logistic(x, y))
+    del texts, samples, gain
+    release()
     return model
 
 
