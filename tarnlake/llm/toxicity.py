@@ -29,7 +29,7 @@ from tarnlake.session import table
 
 #: Bounds of the sample that the dictionaries and the calibration are fitted on.
 MAX_FIT_ROWS = 4000
-MAX_FIT_CHARS = 10_000
+MAX_FIT_CHARS = 20_000
 ORDINARY_BYTES = 16_000
 TOXIC_BYTES = 8_000
 FOLDS = 5
@@ -149,8 +149,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.concatenate([[w[0] - float(mean @ scaled)], scaled])
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model | None:
-    """Dictionaries and calibration from (text, label) rows."""
+def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model | None:
+    """Dictionaries and calibration from (text, label) rows; ``share`` is that of label 1 among all labelled rows, where
+    the sample has another one."""
     import zstandard as zs
 
     texts = [(_words(t), int(y)) for t, y in rows if y in (0, 1)]
@@ -165,7 +166,10 @@ def fit(rows: list[tuple[str | None, int]]) -> Model | None:
     model = Model(ordinary, b"".join(_typical(texts))[-TOXIC_BYTES:], (0.0, 0.0, 0.0, 0.0), 0.0)
     gain = model.gains()
     x, y = np.array([features(gain, ws) for ws, _ in texts]), np.array([y for _, y in texts], float)
-    model.weights = tuple(float(v) for v in _logistic(x, y))
+    weights = _logistic(x, y)
+    if share:
+        weights[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    model.weights = tuple(float(v) for v in weights)
     del texts, samples, gain
     release()
     return model
@@ -183,7 +187,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(text_col, 1, MAX_FIT_CHARS).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()  # at most MAX_FIT_ROWS rows
     rows.sort(key=lambda r: r.doc_id)
-    return fit([(r.text, r.y) for r in rows])
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return fit([(r.text, r.y) for r in rows], n[1] / (n[0] + n[1]) if n.get(0) and n.get(1) else None)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score", by: str = "doc_id") -> DataFrame:
