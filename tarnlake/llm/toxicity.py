@@ -30,7 +30,7 @@ from tarnlake.session import table
 #: Bounds of the sample that the dictionaries and the calibration are fitted on.
 MAX_FIT_ROWS = 4000
 MAX_FIT_CHARS = 20_000
-ORDINARY_BYTES = 16_000
+ORDINARY_BYTES = 40_000
 TOXIC_BYTES = 8_000
 FOLDS = 5
 #: A piece of a word counts as typical of toxic windows from this z-score and support on.
