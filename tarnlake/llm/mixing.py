@@ -125,8 +125,9 @@ def mixed_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
     rows = each.groupBy("row", "doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("pass", "cut", (F.col("words") >= F.col("size")).alias("whole")))).alias("passes"))
     own = rows.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.min_by("passes", "row").alias("__passes"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    wide = docs.withColumn("__words", words)
-    joined = wide.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.size("__words") == F.col("__size")))
+    counted = docs.withColumn("__n", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    joined = counted.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    joined = joined.withColumn("__words", words)  # after the join: words of texts never move
     text_of = lambda p: F.when(p.whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform(p.cut, lambda c: F.slice("__words", (c["from"] + 1).cast("int"), c.n.cast("int")))), " "))
     out = joined.withColumn("text", F.array_join(F.transform("__passes", text_of), "\n"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
