@@ -39,6 +39,12 @@ def test_banded_pairs_are_all_pairs(spark, distance):
     assert key(hamming.banded_pairs(rows, distance)) == key(hamming.naive_pairs(rows, distance))
 
 
+def test_many_rows_go_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "SMALL_ROWS", 10)
+    rows = frame(spark, planted())
+    assert sorted(hamming.hamming_pairs(rows, 2).collect()) == sorted(hamming.naive_pairs(rows, 2).collect())
+
+
 def test_rows_without_hash_stay(spark):
     rows = spark.createDataFrame([(1, 5), (2, None)], "id long, hash long")
     assert [r.id for r in hamming.near_duplicate_anti_join(rows, rows.where("id = 1"), 3).collect()] == [2]
@@ -64,8 +70,10 @@ def test_components(spark, edges):
         if a != b:
             x, y = find(a), find(b)
             par[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in par}
+    rows = spark.createDataFrame(edges, "a long, b long")
+    for most in (0, 100):
+        got = {r.node: r.component for r in connected_components(rows, driver_edges=most).collect()}
+        assert got == {x: find(x) for x in par}
 
 
 def test_components_of_a_long_path(spark):
