@@ -33,6 +33,16 @@ def sample_key(archive: Column, member: Column) -> Column:
     return F.concat_ws("/", stem(archive), stem(member))
 
 
+def frame_number(path: Column) -> Column:
+    """The digits between the last underscore and the extension, null where there are none."""
+    return F.nullif(F.regexp_extract(path, r"_(\d+)\.[A-Za-z]+$", 1), F.lit("")).cast("int")
+
+
+def video_name(path: Column) -> Column:
+    """The first folder that is called like 001-002, null where there is none."""
+    return F.nullif(F.regexp_extract(path, r"(?:^|/)(\d{3}-\d{3})(?:/|$)", 1), F.lit(""))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 

@@ -148,6 +148,18 @@ def seg_overlap(spark, sf):
     return segmentation.overlap(p).select("image", R6("dice").alias("dice"), R6("iou").alias("iou"))
 
 
+@query("seg_pixel_calibration", """WITH p AS (SELECT CAST(l_tax >= CAST(0.04 AS DOUBLE) AS INTEGER) AS y, l_discount * 10 AS p FROM lineitem), c AS (SELECT y, CAST(p >= CAST(0.5 AS DOUBLE) AS INTEGER) AS pred, greatest(p, 1 - p) AS conf FROM p),
+b AS (SELECT greatest(0, least(14, ceil(conf * 15) - 1)) AS bin, y = 1 AS fg, y = pred AS hit, conf FROM c),
+g AS (SELECT bin, count(*) AS n, avg(CAST(hit AS INTEGER)) AS acc, avg(conf) AS conf FROM b GROUP BY bin), f AS (SELECT bin, count(*) AS n, avg(CAST(hit AS INTEGER)) AS acc, avg(conf) AS conf FROM b WHERE fg GROUP BY bin)
+SELECT 'all' AS pixels, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM g UNION ALL SELECT 'foreground', round(sum(n * abs(acc - conf)) / sum(n), 6) FROM f""")
+def seg_pixel_calibration(spark, sf):
+    """Calibration over all pixels and over those of the foreground."""
+    p = F.col("l_discount") * 10
+    pix = table(spark, sf, "lineitem").select((F.col("l_tax") >= 0.04).cast("int").alias("y"), (p >= 0.5).cast("int").alias("pred"), F.greatest(p, 1 - p).alias("conf"))
+    out = [metrics.ece(metrics.reliability(d, 15)).select(F.lit(name).alias("pixels"), R6("ece").alias("ece")) for name, d in (("all", pix), ("foreground", pix.where("y = 1")))]
+    return out[0].unionByName(out[1])
+
+
 @query("seg_mean", """WITH p AS (SELECT l_orderkey AS image, CAST(l_discount >= CAST(0.05 AS DOUBLE) AS BIGINT) AS a, CAST(l_tax >= CAST(0.04 AS DOUBLE) AS BIGINT) AS b FROM lineitem),
 s AS (SELECT image, sum(a) AS a, sum(b) AS b, sum(a * b) AS c FROM p GROUP BY image)
 SELECT round(avg(CASE WHEN a + b = 0 THEN 1 ELSE 2 * c / (a + b) END), 6) AS dice, round(avg(CASE WHEN a + b = 0 THEN 1 ELSE c / (a + b - c) END), 6) AS miou FROM s""")

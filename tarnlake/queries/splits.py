@@ -201,6 +201,14 @@ def frame_annotations(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(boxes, "o_orderkey", "left").select("o_orderkey", F.size(F.coalesce("boxes", F.array().cast("array<int>"))).alias("boxes"))
 
 
+@query("frame_scan", "SELECT lpad(CAST(l_suppkey % 7 AS VARCHAR), 3, '0') || '-001' AS video, count(*) AS frames, CAST(max(l_linenumber) AS INTEGER) AS last FROM lineitem GROUP BY 1")
+def frame_scan(spark, sf):
+    """Frames found by path: video folder and frame number."""
+    path = F.format_string("root/%03d-001/img_%d.jpg", (F.col("l_suppkey") % 7).cast("int"), F.col("l_linenumber"))
+    rows = table(spark, sf, "lineitem").select(path.alias("path")).where(S.has_extension(F.col("path"), (".jpeg", ".jpg", ".png")))
+    return rows.groupBy(S.video_name(F.col("path")).alias("video")).agg(F.count("*").alias("frames"), F.max(S.frame_number(F.col("path"))).alias("last"))
+
+
 @query("pair_join", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 def pair_join(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality")

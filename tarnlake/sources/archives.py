@@ -161,3 +161,32 @@ def with_group(rows: DataFrame) -> DataFrame:
     from tarnlake.functions.scalars import shard_group, shard_index
 
     return rows.withColumn("shard_group", shard_group(shard_index(F.col("shard"), F.lit(0))))
+
+
+def index_members(spark: SparkSession, folder: str, manifest: str, expected: int | None = None) -> str:
+    """Append (archive, bytes, members) of archives that the manifest table doesn't have yet, and return its fingerprint.
+
+    An interrupted run goes on where it stopped; an archive that grew or shrank since is refused, and so is a manifest of
+    another number of archives than expected.
+    """
+    from tarnlake.operators.lake import todo
+    from tarnlake.sources.lake import fingerprint, listing, read_parts
+
+    schema = "archive string, bytes long, members array<string>"
+    have = read_parts(spark, manifest, schema)
+    found = listing(spark, folder).where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(*KINDS)).select(F.col("name").alias("archive"), F.col("size").alias("bytes"), "path")
+    odd = found.join(have.select("archive", F.col("bytes").alias("then")), "archive").where("bytes <> then")
+    if not odd.isEmpty():
+        raise ValueError("an archive changed since it was indexed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [[n for n, _, _ in members(p.removeprefix("file://").removeprefix("file:"))] for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.list_(pa.string()))], names=["archive", "bytes", "members"])
+
+    todo(found, have, "archive").select("archive", "bytes", "path").mapInArrow(run, schema).write.mode("append").parquet(manifest)
+    done = read_parts(spark, manifest, schema)
+    n = done.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} archives are indexed, {expected} were expected")
+    return fingerprint(done.withColumn("members", F.array_join("members", "\n")), "archive", "bytes", "members")

@@ -49,6 +49,19 @@ def test_tars_round_trip_without_empty_shards(spark, folder, tmp_path):
     assert pairs(back) == pairs(rows)
 
 
+def test_index_goes_on(spark, folder, tmp_path):
+    m = str(tmp_path / "manifest")
+    first = archives.index_members(spark, str(folder), m, 3)
+    assert archives.index_members(spark, str(folder), m) == first
+    (folder / "a3.zip").write_bytes((folder / "a0.zip").read_bytes())
+    assert archives.index_members(spark, str(folder), m, 4) != first
+    rows = {r.archive: len(r.members) for r in spark.read.parquet(m).collect()}
+    assert rows == {f"a{i}.zip": 4 for i in range(4)}
+    (folder / "a3.zip").write_bytes(b"PK")
+    with pytest.raises(ValueError, match="changed"):
+        archives.index_members(spark, str(folder), m)
+
+
 def test_7z_is_refused(spark, tmp_path):
     (tmp_path / "a.7z").write_bytes(b"7z")
     with pytest.raises(Exception, match="7z"):
