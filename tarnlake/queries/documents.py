@@ -13,6 +13,7 @@ from tarnlake.operators import lake
 from tarnlake.operators.reports import histogram_sum, redundancy_rollup, storage
 from tarnlake.operators.splits import size_mismatch
 from tarnlake.session import table
+from tarnlake.sources import lake as lake_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -250,17 +251,13 @@ def top_lengths(spark, sf):
 @query("partition_repair")
 def partition_repair(spark, sf):
     """Write the manifest partitioned, register it as an external table and repair its partitions."""
-    from tarnlake.sources.lake import external_table, write_manifest
-
-    return external_table(spark, write_manifest(manifest(spark, sf).drop("shard_index"))).groupBy("shard_group").agg(F.count("*").alias("n"))
+    return lake_files.external_table(spark, lake_files.write_manifest(manifest(spark, sf).drop("shard_index"))).groupBy("shard_group").agg(F.count("*").alias("n"))
 
 
 @query("feature_cache")
 def feature_cache(spark, sf):
     """Read-through cache: the second call reads the files of the first."""
-    from tarnlake.sources.lake import cached
-
     d = table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("x"))
-    build = lambda: d
-    cached(spark, build, tag="chars", size=1)
-    return cached(spark, build, tag="chars", size=1)
+    key = {"tag": "chars", "size": 1, "of": lake_files.fingerprint(d, "doc_id", "x")}
+    lake_files.cached(spark, lambda: d, **key)
+    return lake_files.cached(spark, lambda: d, **key)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -36,39 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs no rework.
 
-    The files are removed when the driver exits.
+    The files are removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tarnlake/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    _WRITTEN.append((spark, path))
-    writer.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark.sparkContext._jsc is not None:
-                drop_written(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
