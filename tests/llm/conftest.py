@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines int, `part` string, `__extra` string"
 LONG = "Lorem " * 30_000
@@ -35,11 +34,3 @@ def documents(spark, sf):
 def texts(documents):
     return {r.doc_id: r.text or "" for r in documents.orderBy("doc_id").select("doc_id", "text").collect()}
 
-
-def word_list(t):
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
-
-
-__all__ = ["F", "word_list"]
