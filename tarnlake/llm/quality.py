@@ -6,8 +6,9 @@ other third, and is kept while it is precise there; the rows that it covers are
 grown. The list is emitted as one ordered conditional expression of Spark: the first rule that holds decides,
 and a text that none covers is kept.
 
-Fitted on at most ``MAX_FIT_ROWS`` labelled rows, half of each label, by the order of a hash of the id; without both
-labels no rule is learned. Null and empty texts have zeros as statistics and fail the base rule. Repeated rows get
+Fitted on at most ``MAX_FIT_ROWS`` labelled rows, half of each label, by the order of a hash of the id. Each row weighs
+as many labelled rows as it stands for, so gain, pruning worth and precision are those of the labels' true share,
+whatever the input's size; without both labels no rule is learned. Null and empty texts have zeros as statistics and fail the base rule. Repeated rows get
 repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -134,10 +135,11 @@ def _gain(p0: float, n0: float, p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(p > 0, g, -np.inf)
 
 
-def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[int, bool, float]]:
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[int, bool, float]]:
     on, found = np.ones(len(x), bool), []
     while len(found) < MAX_CONDITIONS:
-        p0, n0 = y[on].sum(), (~y[on]).sum()
+        wp, wa = np.where(y, w, 0.0)[on], w[on]
+        p0, n0 = wp.sum(), w[on & ~y].sum()
         if not p0 or not n0:
             break
         best = (1e-6, None)
@@ -146,8 +148,8 @@ def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[int, bool, float]]:
             for t in np.unique(np.quantile(v, np.linspace(0, 1, THRESHOLDS))):
                 for least in (True, False):
                     c = v >= t if least else v <= t
-                    p = (y[on] & c).sum()
-                    g = float(_gain(p0, n0, np.array(float(p)), np.array(float(c.sum() - p))))
+                    p = float(wp @ c)
+                    g = float(_gain(p0, n0, np.array(p), np.array(float(wa @ c) - p)))
                     if g > best[0] + 1e-12:
                         best = (g, (j, least, float(t)))
         if best[1] is None:
@@ -158,8 +160,13 @@ def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[int, bool, float]]:
     return found
 
 
-def learn(x: np.ndarray, y: np.ndarray) -> list[Rule]:
-    """Ordered rules for y (true: of low quality); rows are taken in the order given."""
+def _precision(y: np.ndarray, w: np.ndarray, c: np.ndarray) -> float:
+    return float(w[y & c].sum() / w[c].sum())
+
+
+def learn(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> list[Rule]:
+    """Ordered rules for y (true: of low quality); rows are taken in the order given, w is how many each stands for."""
+    w = np.ones(len(y)) if w is None else w
     rules: list[Rule] = []
     fold = np.arange(len(y)) % 3 == 2
     on = np.ones(len(y), bool)
@@ -167,21 +174,21 @@ def learn(x: np.ndarray, y: np.ndarray) -> list[Rule]:
         grow, prune = on & ~fold, on & fold
         if y[grow].sum() < MIN_COVER or (~y[grow]).sum() == 0:
             break
-        conditions = _grow(x[grow], y[grow])
+        conditions = _grow(x[grow], y[grow], w[grow])
         if not conditions:
             break
 
         def worth(k: int) -> float:
             c = Rule(conditions[:k], 0, 0).holds(x[prune])
-            p, n = (y[prune] & c).sum(), (~y[prune] & c).sum()
+            p, n = w[prune][y[prune] & c].sum(), w[prune][~y[prune] & c].sum()
             return (p - n) / (p + n) if p + n else -1.0
 
         k = max(range(1, len(conditions) + 1), key=lambda k: (round(worth(k), 9), -k))
         rule = Rule(conditions[:k], 0, 0)
         c = rule.holds(x[on])
-        rule.precision, rule.cover = float(y[on][c].mean()) if c.any() else 0.0, int(c.sum())
+        rule.precision, rule.cover = _precision(y[on], w[on], c) if c.any() else 0.0, int(c.sum())
         held = rule.holds(x[prune])
-        if rule.cover < MIN_COVER or rule.precision < MIN_PRECISION or (held.any() and y[prune][held].mean() < MIN_PRECISION):
+        if rule.cover < MIN_COVER or rule.precision < MIN_PRECISION or (held.any() and _precision(y[prune], w[prune], held) < MIN_PRECISION):
             break
         rules.append(rule)
         on &= ~rule.holds(x)
@@ -199,13 +206,15 @@ def decision_list(rules: list[Rule]) -> Column:
 def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[Rule]:
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"]).withColumn("r", F.xxhash64("doc_id"))
     half = MAX_FIT_ROWS // 2
+    counts = {n["y"]: n["count"] for n in known.groupBy("y").count().collect()}  # one row a label
     picked = known.where("y = 0").orderBy("r", "doc_id").limit(half).unionByName(known.where("y = 1").orderBy("r", "doc_id").limit(half))
     rows = stats.join(F.broadcast(picked), "doc_id").select("doc_id", "r", "y", *[ratio(n).alias(f"x{i}") for i, n in enumerate(RATIOS)]).dropDuplicates(["doc_id"]).toPandas()  # at most MAX_FIT_ROWS rows
     rows = rows.sort_values(["r", "doc_id"])
     y = rows["y"].to_numpy() == 0
     if y.all() or not y.any():
         return []
-    return learn(rows[[f"x{i}" for i in range(len(RATIOS))]].to_numpy(float), y)
+    w = rows["y"].map({k: n / min(n, half) for k, n in counts.items()}).to_numpy(float)
+    return learn(rows[[f"x{i}" for i in range(len(RATIOS))]].to_numpy(float), y, w)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
