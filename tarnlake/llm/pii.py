@@ -2,13 +2,13 @@
 
 Emails, IP addresses, card and phone numbers are found by pattern; their values are the protected entities. Terms
 near an entity (``REACH`` terms to either side in its line) are judged by how much they tell about it. Over the
-corpus, n(e) and n(t, e) count the different surroundings of an entity, and of an entity with a term (copies of a
-text add nothing), df(t) the documents with the term, N all documents:
+corpus, all counts are of documents, copies included: n(e) with an entity, n(t, e) with an entity and a term near it,
+df(t) with the term, N all:
 
     PMI(t; e) = log2(n(t, e) * N / (df(t) * n(e)))    IC(e) = log2(N / n(e))    disclosure = PMI / IC
 
 A disclosure of 1 says that the term appears with the entity alone. Terms met with an entity in ``SUPPORT``
-surroundings or more are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, where they are near it.
+documents or more are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, where they are near it.
 
 Only candidate terms are counted: a bitmap of their hashes, of at most ``BITMAP_BITS`` bits, goes to the pass over all
 documents; what it lets through by chance is dropped by the join on the hashes themselves.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.kernel import mix, slices, words_of
+from tarnlake.llm.kernel import slices, words_of
 from tarnlake.session import materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -100,8 +100,8 @@ def _value(kind: int, s: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_ENTITY = pa.struct([("e", pa.int64()), ("ctx", pa.int64()), ("terms", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<struct<e: long, ctx: long, terms: array<long>, starts: array<int>, ends: array<int>>>"
+_ENTITY = pa.struct([("e", pa.int64()), ("terms", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<struct<e: long, terms: array<long>, starts: array<int>, ends: array<int>>>"
 
 
 def _surroundings(texts: pa.Array, spans: list[list[tuple[int, int, int]]], strings: list[str]) -> list[list[dict]]:
@@ -126,8 +126,7 @@ def _surroundings(texts: pa.Array, spans: list[list[tuple[int, int, int]]], stri
                 near = np.concatenate([ok[max(0, i - REACH) : i], ok[i : i + REACH]])
                 near = near[row[near] == here]
                 h = w.hash[a + near]
-                ctx = mix(np.array([len(h)], np.uint64) + (h * np.arange(1, 2 * len(h), 2, dtype=np.uint64)).sum(dtype=np.uint64))[0]
-                found.append({"e": _value(k, strings[d][s:e]), "ctx": int(ctx.view(np.int64)), "terms": h.view(np.int64).tolist(), "starts": start[near].tolist(), "ends": end[near].tolist()})
+                found.append({"e": _value(k, strings[d][s:e]), "terms": h.view(np.int64).tolist(), "starts": start[near].tolist(), "ends": end[near].tolist()})
         out.append(found)
     return out
 
@@ -182,10 +181,10 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(t, e, disclosure) of the term and entity pairs from GENERALISE on."""
     total = found.count()
-    met = found.select(F.explode("entities").alias("x")).select("x.e", "x.ctx", "x.terms")
-    entities = met.select("e", "ctx").distinct().groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT)
+    met = found.select("row", F.explode("entities").alias("x")).select("row", "x.e", "x.terms")
+    entities = met.select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT)
     entities = materialize(entities, "entities")
-    pairs = met.join(entities.select("e"), "e").select("e", "ctx", F.explode(F.array_distinct("terms")).alias("t")).distinct()
+    pairs = met.join(entities.select("e"), "e").select("e", "row", F.explode(F.array_distinct("terms")).alias("t")).distinct()
     pairs = materialize(pairs.groupBy("t", "e").agg(F.count("*").alias("nte")).where(F.col("nte") >= SUPPORT), "term-pairs")
     counts = materialize(document_counts(docs, pairs.select("t").distinct(), text_col), "term-counts")
     ic = F.log2(F.lit(float(total)) / F.col("ne"))

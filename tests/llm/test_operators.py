@@ -84,6 +84,21 @@ def test_disclosing_terms(spark):
     assert "jo@ex.org" not in clean[0] and "zorblax" not in clean[0] and clean[10] == t[10]
 
 
+def _terms(rows, got, i):
+    t = dict(rows)[i]
+    return {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in filter(None, got[i].split(","))) if k == "term"}
+
+
+def test_copies_count_as_often_below_as_above(spark):
+    rows = [(i, "the clinic of zorblax wrote to jo@ex.org about the visit") for i in range(40)] + [(50, "the doctor zorblax asked jo@ex.org about the weather")]
+    rows += [(60 + i, "we saw the garden of quuxly where al@ex.org lives") for i in range(3)]
+    rows += [(100 + i, f"the visit of the day{i} was about the weather") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zorblax" in _terms(rows, got, 0) and "zorblax" in _terms(rows, got, 50)
+    assert "quuxly" in _terms(rows, got, 60)
+    assert "the" not in _terms(rows, got, 0) | _terms(rows, got, 50) | _terms(rows, got, 60)
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.spans(odd).count() == odd.count() and pii.spans(none).count() == 0
 
