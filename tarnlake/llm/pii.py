@@ -1,16 +1,17 @@
 """PII: patterns, then information-theoretic sanitisation.
 
-Emails, IP addresses, card and phone numbers are found by pattern; their values are the protected entities. Terms
-near an entity (``REACH`` terms to either side in its line) are judged by how much they tell about it. Over the
-corpus, all counts are of documents, copies included: n(e) with an entity, n(t, e) with an entity and a term near it,
-df(t) with the term, N all:
+Emails, IP addresses, card and phone numbers are found by pattern; their values are the protected entities. All terms
+of the documents that hold an entity are judged by how much they tell about it. Over the corpus, all counts are of
+documents, copies included: n(e) with an entity, n(t, e) with an entity and a term, df(t) with the term, N all:
 
     PMI(t; e) = log2(n(t, e) * N / (df(t) * n(e)))    IC(e) = log2(N / n(e))    disclosure = PMI / IC
 
 A disclosure of 1 says that the term appears with the entity alone. Terms met with an entity in ``SUPPORT``
-documents or more are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, where they are near it.
+documents or more are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they are in the
+documents that hold it; documents that name a term without the entity keep it.
 
-Only candidate terms are counted: a bitmap of their hashes, of at most ``BITMAP_BITS`` bits, goes to the pass over all
+As n(t, e) is at most n(e), a term of df(t) > sqrt(N * n(e)) can't reach ``GENERALISE`` (of 0.5 or more). So terms are
+counted first, the common ones are left out, and only the others are paired with entities. Only candidate terms are counted: a bitmap of their hashes, of at most ``BITMAP_BITS`` bits, goes to the pass over all
 documents; what it lets through by chance is dropped by the join on the hashes themselves.
 
 Null texts count as empty. Repeated rows are documents of their own. An empty table gives an empty result; other
@@ -32,7 +33,6 @@ from tarnlake.llm.kernel import slices, words_of
 from tarnlake.session import materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 10
 SUPPORT = 2
 GENERALISE = 0.5
 REMOVE = 0.9
@@ -100,39 +100,32 @@ def _value(kind: int, s: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_ENTITY = pa.struct([("e", pa.int64()), ("terms", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<struct<e: long, terms: array<long>, starts: array<int>, ends: array<int>>>"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>, terms array<long>, starts array<int>, ends array<int>"
 
 
-def _surroundings(texts: pa.Array, spans: list[list[tuple[int, int, int]]], strings: list[str]) -> list[list[dict]]:
-    """For each text its entities with the terms around them."""
+def _free_words(texts: pa.Array, spans: list[list[tuple[int, int, int]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the hashes, starts and ends of its words outside the spans."""
     w = words_of(texts, lower=True, apart=_APART)
     points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-    line = np.concatenate([[0], np.cumsum(w.data == 10)])
     out = []
     for d, own in enumerate(spans):
-        found: list[dict] = []
-        if own:
-            a, b = w.first[d], w.first[d + 1]
-            base = points[w.text[d]]
-            start, end, row = points[w.start[a:b]] - base, points[w.end[a:b]] - base, line[w.start[a:b]] - line[w.text[d]]
-            free = np.ones(b - a, bool)
-            for s, _, e in own:
-                free[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
-            ok = np.flatnonzero(free)
-            for s, k, e in own:
-                here = strings[d].count("\n", 0, s)
-                i = np.searchsorted(start[ok], s)
-                near = np.concatenate([ok[max(0, i - REACH) : i], ok[i : i + REACH]])
-                near = near[row[near] == here]
-                h = w.hash[a + near]
-                found.append({"e": _value(k, strings[d][s:e]), "terms": h.view(np.int64).tolist(), "starts": start[near].tolist(), "ends": end[near].tolist()})
-        out.append(found)
+        a, b = w.first[d], w.first[d + 1]
+        base = points[w.text[d]]
+        start, end = points[w.start[a:b]] - base, points[w.end[a:b]] - base
+        free = np.ones(b - a, bool)
+        for s, _, e in own:
+            free[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
+        out.append((w.hash[a:b][free].view(np.int64), start[free], end[free]))
     return out
 
 
+def _lists(parts: list, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(kind.to_pandas_dtype()), kind))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans, counts and entities of each whole text."""
+    """Base spans, counts and entities of each whole text, and all terms of the texts with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -140,11 +133,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans = [base_spans(t) for t in strings]
             texts = [shown(s) for s in spans]
             own = [i for i, s in enumerate(spans) if s]
-            entities: list[list[dict]] = [[] for _ in spans]
-            for i, e in zip(own, _surroundings(b.column(1).take(pa.array(own, pa.int64())), [spans[i] for i in own], [strings[i] for i in own]) if own else [], strict=True):
-                entities[i] = e
+            entities: list = [sorted({_value(k, t[x:y]) for x, k, y in s}) for s, t in zip(spans, strings, strict=True)]
+            none = np.zeros(0, np.int64)
+            words = [(none, none, none)] * len(spans)
+            for i, x in zip(own, _free_words(b.column(1).take(pa.array(own, pa.int64())), [spans[i] for i in own]) if own else [], strict=True):
+                words[i] = x
+            lists = [_lists([np.array(e, np.int64) for e in entities], pa.int64()), *(_lists([x[k] for x in words], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))]
             counts = [pa.array([sum(1 for x in s if x[1] == k) for s in spans], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(texts, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(entities, pa.list_(_ENTITY))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(texts, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), *lists], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "terms", "starts", "ends"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FOUND)
 
@@ -179,35 +175,53 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(t, e, disclosure) of the term and entity pairs from GENERALISE on."""
-    total = found.count()
-    met = found.select("row", F.explode("entities").alias("x")).select("row", "x.e", "x.terms")
-    entities = met.select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT)
-    entities = materialize(entities, "entities")
-    pairs = met.join(entities.select("e"), "e").select("e", "row", F.explode(F.array_distinct("terms")).alias("t")).distinct()
-    pairs = materialize(pairs.groupBy("t", "e").agg(F.count("*").alias("nte")).where(F.col("nte") >= SUPPORT), "term-pairs")
-    counts = materialize(document_counts(docs, pairs.select("t").distinct(), text_col), "term-counts")
-    ic = F.log2(F.lit(float(total)) / F.col("ne"))
-    pmi = F.log2(F.col("nte") * F.lit(float(total)) / (F.col("df") * F.col("ne")))
+    """(row, t, disclosure): the terms from GENERALISE on of each row, with the most that they tell of an entity in it."""
+    total = float(found.count())
+    held = found.where(F.size("entities") > 0)
+    each = held.select("row", F.explode("entities").alias("e"))
+    entities = materialize(each.groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT), "entities")
+    recurring = each.join(entities, "e").groupBy("row").agg(F.collect_list(F.struct("e", "ne")).alias("es"))
+    held = materialize(held.join(recurring, "row").select("row", "es", F.array_distinct("terms").alias("ts")), "held")
+    terms = held.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("t")
+    counts = materialize(document_counts(docs, materialize(terms, "terms"), text_col), "term-counts")
+    most = total * float(entities.agg(F.max("ne")).first()[0] or 0)
+    can = lambda product: F.col("df") * F.col("df") <= product * (1 + 1e-9)
+    hot = counts.where(~can(F.lit(most))).select("t")  # at most (mean distinct terms a document) * sqrt(N / the most n(e)) rows
+    met = held.select("row", "es", F.explode("ts").alias("t")).join(F.broadcast(hot), "t", "left_anti").join(counts.where(can(F.lit(most))), "t")
+    met = materialize(met.select("row", "t", "df", F.explode("es").alias("x")).select("row", "t", "df", "x.e", "x.ne").where(can(F.lit(total) * F.col("ne"))), "term-pairs")
+    pairs = met.groupBy("t", "e", "df", "ne").agg(F.count("*").alias("nte")).where(F.col("nte") >= SUPPORT)
+    ic = F.log2(F.lit(total) / F.col("ne"))
+    pmi = F.log2(F.col("nte") * F.lit(total) / (F.col("df") * F.col("ne")))
     ratio = F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(F.lit(0.0))
-    return pairs.join(entities, "e").join(counts, "t").withColumn("disclosure", ratio).where(F.col("disclosure") >= GENERALISE).select("t", "e", "disclosure")
+    pairs = pairs.withColumn("disclosure", ratio).where(F.col("disclosure") >= GENERALISE).select("t", "e", "disclosure")
+    return met.join(pairs, ["t", "e"]).groupBy("row", "t").agg(F.max("disclosure").alias("disclosure"))
+
+
+_SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, removed string"
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts, base digest, all spans, and of the term spans those to remove."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(find(d).withColumn("row", F.monotonically_increasing_id()), "pii")
-    pairs = materialize(disclosing(d, found), "disclosing")
-    met = found.select("row", F.explode("entities").alias("x")).select("row", "x.e", F.explode(F.arrays_zip("x.terms", "x.starts", "x.ends")).alias("z"))
-    met = met.select("row", "e", F.col("z.terms").alias("t"), F.col("z.starts").alias("a"), F.col("z.ends").alias("b"))
-    hit = met.join(pairs, ["t", "e"]).groupBy("row", "a", "b").agg(F.max("disclosure").alias("disclosure"))
-    by_row = hit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "disclosure"))).alias("near"))
-    base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).cast("int").alias("k"), F.split(s, ":")[2].cast("int").alias("b")))
-    terms = F.transform(F.coalesce("near", F.expr("cast(array() AS array<struct<a: int, b: int, disclosure: double>>)")), lambda n: F.struct(n.a.alias("a"), F.lit(len(KINDS)).alias("k"), n.b.alias("b")))
-    text = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x.k), x.a, x.b)
-    out = found.drop("entities").join(by_row, "row", "left").withColumn("spans", F.array_join(F.transform(F.array_sort(F.concat(base, terms)), text), ","))
-    removed = F.array_join(F.transform(F.filter(F.coalesce("near", F.expr("cast(array() AS array<struct<a: int, b: int, disclosure: double>>)")), lambda n: n.disclosure >= REMOVE), lambda n: F.concat_ws(":", n.a, n.b)), ",")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", removed.alias("removed"))
+    by_row = disclosing(d, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("t", "disclosure"))).alias("hits"))
+    own = lambda c: F.when(F.col("hits").isNotNull(), F.col(c)).alias(c)
+    rows = found.join(materialize(by_row, "disclosing"), "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", own("terms"), own("starts"), own("ends"), F.col("hits.t").alias("ts"), F.col("hits.disclosure").alias("ds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_, removed = b.column("base").to_pylist(), [""] * b.num_rows
+            for i in np.flatnonzero(np.asarray(b.column("ts").is_valid())).tolist():
+                t, start, end, ts, ds = (np.asarray(b.column(c)[i].values) for c in ("terms", "starts", "ends", "ts", "ds"))
+                at = np.minimum(np.searchsorted(ts, t), len(ts) - 1)
+                hit = np.flatnonzero(ts[at] == t)
+                near = list(zip(start[hit].tolist(), end[hit].tolist(), ds[at[hit]].tolist(), strict=True))
+                base = [(int(x), KINDS.index(k), int(y)) for k, x, y in (s.split(":") for s in filter(None, all_[i].split(",")))]
+                all_[i] = shown(sorted(base + [(x, KINDS.index("term"), y) for x, y, _ in near]))
+                removed[i] = ",".join(f"{x}:{y}" for x, y, share in near if share >= REMOVE)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(6)), pa.array(all_, pa.string()), pa.array(removed, pa.string())], names=[x.split()[0] for x in _SPANS.split(", ")])
+
+    return rows.mapInArrow(run, _SPANS)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

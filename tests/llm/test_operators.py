@@ -99,6 +99,18 @@ def test_copies_count_as_often_below_as_above(spark):
     assert "the" not in _terms(rows, got, 0) | _terms(rows, got, 50) | _terms(rows, got, 60)
 
 
+def test_terms_of_the_whole_document(spark):
+    far = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"Contact: jo@ex.org\nDr Zorblax leads the clinic. {far} Zorblax again") for i in range(5)]
+    rows += [(10 + i, f"the day{i} in the clinic leads Dr Contact {far} again") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.spans(d).collect()}
+    assert all(_terms(rows, got, i) == {"Zorblax"} and got[i].count("term") == 2 for i in range(5))
+    assert all(got[10 + i] == "" for i in range(60))
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert clean[0] == f"Contact: [EMAIL]\nDr  leads the clinic. {far}  again" and clean[10] == rows[5][1]
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.spans(odd).count() == odd.count() and pii.spans(none).count() == 0
 
