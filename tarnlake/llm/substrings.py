@@ -1,9 +1,10 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window hashes.
 
 Seeds are winnowed anchors: word 8-grams whose hash is the least of some 13 consecutive ones, so that any 20 words
-hold one, chosen by these words alone. Documents are joined on anchors that occur more than once; around those
-the match is extended word by word to all 20-word windows that hold the anchor, and windows are compared by their
-hash; a run of repeated windows is a maximal repeat. A word is removed if a window over it starts earlier elsewhere.
+hold one, chosen by these words alone. Blocks of documents are joined on anchors that occur more than once; the
+20-word windows around those are compared by their hash, and inside a block all windows are, without seeds. No match is
+extended word by word and no maximal repeat is built: every 20 words of a longer repeat are a repeated window
+themselves. A word is removed if a window over it starts earlier elsewhere.
 
 Nulls and empty texts have no words; texts of under 20 words lose nothing. Documents of a null id come last.
 Repeated rows count as documents of their own, in the order of their text. An empty table gives an empty
