@@ -12,46 +12,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.session import materialize
+from tarnlake.session import free, materialize
 
 MAX_ROUNDS = 60
 
 
-def _ends(to: DataFrame) -> DataFrame:
+def _ends(start: DataFrame) -> DataFrame:
     """Pointers (node, to) followed to the nodes that point at themselves."""
+    to = start
     while True:
+        pointers = to.select("node", "to")
         following = to.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        onward = materialize(to.join(following, "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "ends")
-        to = onward.select("node", "to")
+        moved = (F.col("end") != F.col("to")).alias("moved")
+        onward = materialize(pointers.join(following, "to").select("node", F.col("end").alias("to"), moved), "ends")
+        free(to)
+        to = onward
         if onward.where("moved").isEmpty():
             return to
 
 
-def _on_driver(edges: DataFrame) -> DataFrame:
-    """The same for a checked, small number of edges: union-find by smallest node."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for x, y in zip(*edges.select("a", "b").toArrow().to_pydict().values(), strict=True):
-        x, y = find(x), find(y)
-        parent[max(x, y)] = min(x, y)
-    return edges.sparkSession.createDataFrame([(x, find(x)) for x in parent], "node long, component long")
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", driver_edges: int = 0) -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
-
-    Up to ``driver_edges`` edges (none by default) are solved on the driver, which saves the rounds' jobs.
-    """
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge; component is the smallest node reachable."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     e = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    spark = edges.sparkSession
-    if driver_edges and e.limit(driver_edges + 1).count() <= driver_edges:
-        return _on_driver(e)
     labels = None
     for r in range(MAX_ROUNDS):
         if e.isEmpty():
@@ -59,15 +42,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", driver_ed
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         to = _ends(materialize(to, f"pointers{r}"))
+        ends = to.select("node", "to")
+        old_edges, old_labels = e, labels
+        x, y = (ends.select(F.col("node").alias(k), F.col("to").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        left = e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        e = materialize(left.distinct(), f"edges{r}")
+        free(old_edges)
         if labels is None:
             labels = to
         else:
-            following = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            labels = materialize(labels.join(following, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"labels{r}")
-        left = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        e = materialize(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges{r}")
+            following = ends.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            onward = labels.select("node", "to").join(following, "to", "left")
+            labels = materialize(onward.select("node", F.coalesce("next", "to").alias("to")), f"labels{r}")
+            free(old_labels, to)
     else:
         raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
     if labels is None:
-        return spark.createDataFrame([], "node long, component long")
+        kind = e.schema["a"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    free(e)
     return labels.select("node", F.col("to").alias("component"))

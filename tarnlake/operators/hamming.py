@@ -20,10 +20,6 @@ from tarnlake.session import materialize
 
 MIN_BAND_BITS = 9
 MAX_FLIPS = 2
-#: Rows up to which comparing all pairs is faster than bands.
-SMALL_ROWS = 4096
-#: Links up to which components are found on the driver.
-DRIVER_EDGES = 100_000
 
 
 def bands(distance: int) -> tuple[list[tuple[int, int]], int]:
@@ -59,11 +55,8 @@ def banded_pairs(rows: DataFrame, distance: int) -> DataFrame:
 
 
 def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """All pairs (a, b, d) of rows with a hash within the distance: few rows are compared directly, more by bands."""
-    rows = rows.where("hash is not null")
-    if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return naive_pairs(rows, distance)
-    return banded_pairs(rows, distance)
+    """All pairs (a, b, d) of rows with a hash within the distance."""
+    return banded_pairs(rows.where("hash is not null"), distance)
 
 
 def near_duplicate_anti_join(rows: DataFrame, reference: DataFrame, distance: int) -> DataFrame:
@@ -77,15 +70,16 @@ def near_duplicate_anti_join(rows: DataFrame, reference: DataFrame, distance: in
 
 
 def naive_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """All pairs compared; for at most SMALL_ROWS rows, for tests and the bench."""
+    """All pairs compared: the plain form, for tests and the bench only."""
     a, b = rows.select(F.col("id").alias("a"), F.col("hash").alias("ha")), rows.select(F.col("id").alias("b"), F.col("hash").alias("hb"))
-    return a.join(b, (F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("d"))
+    near = hamming(F.col("ha"), F.col("hb"))
+    return a.join(b, (F.col("a") < F.col("b")) & (near <= distance)).select("a", "b", near.alias("d"))
 
 
 def hash_components(rows: DataFrame, distance: int) -> DataFrame:
     """(id, component): single-linkage clusters, named by their least id."""
     unique = materialize(rows.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")), "hashes")
-    label = connected_components(hamming_pairs(unique, distance), driver_edges=DRIVER_EDGES).withColumnRenamed("node", "id")
+    label = connected_components(hamming_pairs(unique, distance)).withColumnRenamed("node", "id")
     named = unique.join(label, "id", "left").select("hash", F.coalesce("component", "id").alias("component"))
     return rows.join(named, "hash", "left").select("id", F.coalesce("component", "id").alias("component"))
 

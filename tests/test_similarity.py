@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import scalars as S
 from tarnlake.operators import hamming
 from tarnlake.operators.components import connected_components
+from tarnlake.plans.inspect import plan_of
 
 
 def signed(x):
@@ -39,10 +40,10 @@ def test_banded_pairs_are_all_pairs(spark, distance):
     assert key(hamming.banded_pairs(rows, distance)) == key(hamming.naive_pairs(rows, distance))
 
 
-def test_many_rows_go_by_bands(spark, monkeypatch):
-    monkeypatch.setattr(hamming, "SMALL_ROWS", 10)
-    rows = frame(spark, planted())
+def test_few_rows_go_by_bands_too(spark):
+    rows = frame(spark, planted()).union(spark.createDataFrame([(9999, None)], "id long, hash long"))
     assert sorted(hamming.hamming_pairs(rows, 2).collect()) == sorted(hamming.naive_pairs(rows, 2).collect())
+    assert "NestedLoop" not in plan_of(hamming.hamming_pairs(rows, 2))
 
 
 def test_rows_without_hash_stay(spark):
