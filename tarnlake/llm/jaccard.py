@@ -6,17 +6,19 @@ Jaccard similarity t share a shingle among the first n - ceil(t * n) + 1 of each
 are one group. Groups meet in the token index; pairs must fit by size, by position and by a parity sketch (a lower
 bound on their difference), are expanded to members, and are verified on whole sets.
 
-Only links that join two components matter for the result, so the index is read twice. First each group meets the
-hubs of its token and size class and of the next classes, and members meet their group's least member: a token of m
-groups gives 3 * m pairs at most, not m * m. A hub is the group with the least share of shingles that no other
-document has: in a group of edited copies, the text they were made from. Tokens whose classes are still in different
-components meet their next HUBS hubs. Then only tokens whose classes are still in different components are expanded to pairs, and
-only pairs over two components: every link that is not yet implied is found there, without a limit.
+Only links that join two components matter for the result, so links are not enumerated, and the index is read thrice.
+First each group meets the hubs of its token and size class and of the next classes, and members meet their group's
+least member: a token of m groups gives 3 * m pairs at most, not m * m. A hub is the group with the least share of
+shingles that no other document has: in a group of edited copies, the text they were made from. Tokens whose classes
+are still in different components meet their next HUBS hubs. Then only tokens whose classes are still in different
+components are compared in full, in tiles of at most ``2 * TILE`` classes, a group each; a tile emits those pairs only
+that lie in two components and pass all filters. Every link that is not yet implied is found there, without a limit.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. With fewer than five words the whole sequence is the one
-shingle. Null or empty texts have no shingles and link with nothing. Repeated rows link with each other. Rows of a
-null id have a null component. An empty table gives an empty result; other columns are ignored. Shingles are 64-bit
-hashes.
+shingle. Null or empty texts have no shingles and link with nothing; very long texts are taken whole. Repeated rows
+link with each other. Rows of one id are documents of their own, as different as their texts. Rows of a null id link
+like others; they name no component, which is null where all ids are. Ties of the order are broken by hash. An empty
+table gives an empty result; other columns are ignored. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.blocks import MESSAGE, NO_ID, by_bucket, dumps, messages, per_block, per_bucket, planes, to_blocks, unplanes
+from tarnlake.llm.blocks import MESSAGE, NO_ID, UID_STEP, Blocks, cut, dumps, messages, per_block, per_bucket, planes, unplanes
 from tarnlake.llm.kernel import _run, mix, words_of
 from tarnlake.operators.components import connected_components
-from tarnlake.session import materialize, table
+from tarnlake.session import free, materialize, table
 
 WORDS = 5
 PERCENT = 80
@@ -42,6 +44,9 @@ COUNT_BITS = 40
 SKETCH_BITS = 512
 #: Hubs that a token's sets meet where the first one left them in different components.
 HUBS = 8
+#: Tokens of at most so many classes are joined with themselves; those of more are compared in tiles of this many.
+FEW = 48
+TILE = 1024
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +74,9 @@ def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, n
 def _send_counts(buckets: int):
     def ask(block, ids, texts, _):
         _, h, _ = shingles(texts)
-        u, n = np.unique(h >> np.uint64(64 - COUNT_BITS), return_counts=True)
-        cut = by_bucket(u << np.uint64(64 - COUNT_BITS), buckets)
-        yield messages([(k, block, dumps(planes(u[a:b]), n[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+        low = np.uint64(64 - COUNT_BITS)
+        u, n = np.unique(h >> low, return_counts=True)
+        yield messages([(k, block, dumps(planes(u[a:b]), n[a:b].astype(np.uint32))) for k, a, b in cut(u << low, buckets)])
 
     return ask
 
@@ -92,18 +97,19 @@ def _counts(got):
             yield block, (own,)
 
 
-_INFO = "doc_id long, n long, h1 long, h2 long, prefix array<long>, at array<int>, shared binary, sketch array<long>"
+_INFO = "doc_id long, uid long, n long, h1 long, h2 long, prefix array<long>, at array<int>, shared binary, sketch array<long>"
 
 
 def _sets(buckets: int, percent: int):
     def ask(block, ids, texts, replies):
         doc, h, n = shingles(texts)
-        u = np.unique(h >> np.uint64(64 - COUNT_BITS))
-        cut = by_bucket(u << np.uint64(64 - COUNT_BITS), buckets)
+        low = np.uint64(64 - COUNT_BITS)
+        u = np.unique(h >> low)
         step = np.zeros(len(u), np.uint8)
-        for k, (own,) in replies.items():
-            step[cut[k] : cut[k + 1]] = own
-        s = step[np.searchsorted(u, h >> np.uint64(64 - COUNT_BITS))] if len(u) else np.zeros(0, np.uint8)
+        for k, a, b in cut(u << low, buckets):
+            if k in replies:
+                step[a:b] = replies[k][0]
+        s = step[np.searchsorted(u, h >> low)] if len(u) else np.zeros(0, np.uint8)
         begin = np.concatenate([[0], np.cumsum(n)])
         full = np.flatnonzero(n)
         h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -117,18 +123,31 @@ def _sets(buckets: int, percent: int):
         chosen[order] = (at < length[doc]) & (s[order] > 0)
         place = np.empty(len(h), np.int32)
         place[order] = at
-        prefix, places, shared, sketch, seen = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n), set()
-        odd = np.bincount(doc * SKETCH_BITS + (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
+        prefix, places, shared, sketch = ([None] * len(n) for _ in range(4))
+        seen = set()
+        bit = (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(doc * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
         odd = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
         for d in np.flatnonzero(np.bincount(doc[chosen], minlength=len(n))) if len(h) else ():
             if (key := (n[d], h1[d], h2[d])) in seen:
-                continue  # a copy in this block; the first has the least id
+                continue  # a copy in this block; the first has the least uid
             seen.add(key)
             a, b = begin[d], begin[d + 1]
             c = chosen[a:b]
             prefix[d], places[d] = h[a:b][c].view(np.int64), place[a:b][c]
             shared[d], sketch[d] = h[a:b][s[a:b] > 0].tobytes(), odd[d]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(shared, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "prefix", "at", "shared", "sketch"])
+        cols = {
+            "doc_id": pa.array(ids, mask=ids == NO_ID),
+            "uid": pa.array(block * UID_STEP + np.arange(len(ids))),
+            "n": pa.array(n.astype(np.int64)),
+            "h1": pa.array(h1.view(np.int64)),
+            "h2": pa.array(h2.view(np.int64)),
+            "prefix": pa.array(prefix, pa.list_(pa.int64())),
+            "at": pa.array(places, pa.list_(pa.int32())),
+            "shared": pa.array(shared, pa.binary()),
+            "sketch": pa.array(sketch, pa.list_(pa.int64())),
+        }
+        yield pa.RecordBatch.from_pydict(cols)
 
     return ask
 
@@ -167,62 +186,152 @@ def _size_class(percent: int):
     return F.floor(F.log("n") / math.log(100 / percent))
 
 
-def _hub_pairs(tokens: DataFrame, hubs: int) -> DataFrame:
-    """Rows of the token index (b ..) with the best hubs (a ..) of their token in their size class and the next ones."""
+def _hub_pairs(tokens: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the token index (b ..) with the best hubs (a ..) of their token in their size class and the next ones;
+    and the written hubs, to be freed."""
     order = Window.partitionBy("token", "size").orderBy("rare", "rep")
-    best = tokens.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs)  # cut before rows move
+    best = tokens.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs)  # each task cuts its own before rows move
     near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")
-    best = materialize(best.select("token", near, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("sketch").alias("sa"), F.col("c").alias("ca")), f"hubs{hubs}")
-    return tokens.withColumnsRenamed({"rep": "b", "n": "nb", "at": "pb", "sketch": "sb", "c": "cb"}).join(best, ["token", "size"])
+    names = {"rep": "a", "n": "na", "at": "pa", "sketch": "sa", "c": "ca"}
+    best = materialize(best.select("token", near, *[F.col(k).alias(v) for k, v in names.items()]), f"hubs{hubs}")
+    other = tokens.withColumnsRenamed({"rep": "b", "n": "nb", "at": "pb", "sketch": "sb", "c": "cb"})
+    return other.join(best, ["token", "size"]), best
 
 
-def _mixed(tokens: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+def _named(tokens: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     """The token index with components (c), and the tokens that are in more than one."""
     found = connected_components(links).withColumnRenamed("node", "rep")
-    named = materialize(tokens.join(found, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), f"named-tokens{step}")
-    mixed = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    return named, materialize(mixed, f"mixed-tokens{step}")
+    named = tokens.join(found, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    named = materialize(named, f"named-tokens{step}")
+    mixed = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("classes"))
+    return named, materialize(mixed.where("lo <> hi").select("token", "classes"), f"mixed-tokens{step}")
+
+
+_SIDES = ("rep", "n", "at", "c", "sketch")
+
+
+def _tile(percent: int):
+    """Pairs of a tile's chunks p and q that lie in two components and pass the filters of ``_fits``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        rep, n, at, c, chunk = (t.column(k).to_numpy() for k in ("rep", "n", "at", "c", "chunk"))
+        sketch = np.asarray(t.column("sketch").chunk(0).flatten()).reshape(len(rep), -1).view(np.uint64)
+        a, b = (np.flatnonzero(chunk == t.column(k)[0].as_py()) for k in ("p", "q"))
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(a), 64):
+            x = a[i : i + 64, None]
+            need = -(-percent * (n[x] + n[b]) // (100 + percent))
+            fits = (c[x] != c[b]) & (100 * np.minimum(n[x], n[b]) >= percent * np.maximum(n[x], n[b]))
+            fits &= np.minimum(n[x] - at[x], n[b] - at[b]) >= need
+            u, v = np.nonzero(fits)
+            differ = np.bitwise_count(sketch[x[u, 0]] ^ sketch[b[v]]).sum(1)
+            ok = differ <= (n[x] + n[b] - 2 * need)[u, v]
+            r, s = rep[x[u[ok], 0]], rep[b[v[ok]]]
+            found.append(np.stack([np.minimum(r, s), np.maximum(r, s)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    return run
+
+
+def _left_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of each token's classes in two components that pass the filters. Rows also have ``classes``, the token's."""
+    few = tokens.where(F.col("classes") <= FEW)
+    x = few.select("token", *[F.col(k).alias(v) for k, v in zip(_SIDES, ("a", "na", "pa", "ca", "sa"), strict=True)])
+    y = few.select("token", *[F.col(k).alias(v) for k, v in zip(_SIDES, ("b", "nb", "pb", "cb", "sb"), strict=True)])
+    small = x.join(y, "token").where("a < b and ca <> cb").where(_fits(percent)).select("a", "b")
+    many = tokens.where(F.col("classes") > FEW).withColumn("chunks", F.ceil(F.col("classes") / TILE).cast("int"))
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    p, q = F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q")
+    tiles = many.select("token", *_SIDES, "chunk", p, q).groupBy("token", "p", "q").applyInArrow(_tile(percent), "a long, b long")
+    return small.unionByName(tiles).distinct()
+
+
+def _class_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(n, h1, h2, component_id): the least document id of each class' component."""
+    label = connected_components(links).withColumnRenamed("node", "rep")
+    joined = materialize(classes.join(label, "rep"), "joined-classes")
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = joined.select("rep", "component").join(least, "component").select("rep", "component_id", F.lit(True).alias("is_joined"))
+    one = F.when(F.col("is_joined"), F.col("component_id")).otherwise(F.col("least"))
+    out = materialize(classes.join(named, "rep", "left").select("n", "h1", "h2", one.alias("component_id")), "class-components")
+    free(joined)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
-    blocks, buckets = to_blocks(docs, id_col, text_col)
-    counts = materialize(per_bucket(per_block(blocks, _send_counts(buckets), MESSAGE), _counts), "shingle-counts", "uncompressed")
-    info = materialize(per_block(blocks, _sets(buckets, percent), _INFO, counts), "shingle-sets")
+    blocks = Blocks(docs, id_col, text_col)
+    sent = per_block(blocks, _send_counts(blocks.buckets), MESSAGE)
+    counts = materialize(per_bucket(sent, _counts), "shingle-counts", "uncompressed")
+    info = materialize(per_block(blocks, _sets(blocks.buckets, percent), _INFO, counts), "shingle-sets")
+    free(counts)
+    blocks.free()
     key = ["n", "h1", "h2"]
-    classes = materialize(info.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    own = info.where("prefix is not null").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    classes = info.where("n > 0").groupBy(*key).agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
+    classes = materialize(classes, "classes")
+    own = info.where("prefix is not null").join(classes.select("rep"), F.col("uid") == F.col("rep"), "left_semi")
     rare = (F.col("n") - F.octet_length("shared") / 8) / F.col("n")
-    sets = materialize(own.select(F.col("doc_id").alias("rep"), "n", rare.alias("rare"), "prefix", "at", "shared", "sketch", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).dropDuplicates(["rep"]), "sets")
-    groups = materialize(sets.groupBy("n", "p1", "p2").agg(F.min("rep").alias("leader"), F.count("*").alias("members")), "groups")
-    member = sets.select("rep", "n", "p1", "p2").join(groups.where("members > 1"), ["n", "p1", "p2"]).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    tokens = sets.select("rep", "n", "rare", "sketch", F.explode(F.arrays_zip("prefix", "at")).alias("t")).select("rep", "n", "rare", "sketch", F.col("t.prefix").alias("token"), F.col("t.at").alias("at"))
-    tokens = materialize(tokens, "tokens")
-    lead = tokens.join(groups.select(F.col("leader").alias("rep")), "rep", "left_semi").withColumn("size", _size_class(percent))
-    star = _hub_pairs(lead.withColumn("c", F.col("rep")), 1).where("a <> b").where(_fits(percent)).select("a", "b")
-    tried = materialize(star.unionByName(member).distinct(), "star-pairs")
+    prefix = (F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"))
+    sets = own.select(F.col("uid").alias("rep"), "n", rare.alias("rare"), "prefix", "at", "shared", "sketch", *prefix)
+    sets = materialize(sets, "sets")
+    docs_of = materialize(info.select("doc_id", *key), "document-classes")
+    free(info)
+    groups = sets.groupBy("n", "p1", "p2").agg(F.min("rep").alias("leader"), F.count("*").alias("members"))
+    groups = materialize(groups, "groups")
+    member = sets.select("rep", "n", "p1", "p2").join(groups.where("members > 1"), ["n", "p1", "p2"])
+    member = member.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    each = sets.select("rep", "n", "rare", "sketch", F.explode(F.arrays_zip("prefix", "at")).alias("t"))
+    tokens = each.select("rep", "n", "rare", "sketch", F.col("t.prefix").alias("token"), F.col("t.at").alias("at"))
+    tokens = materialize(tokens.withColumn("size", _size_class(percent)), "tokens")
+
+    lead = tokens.join(groups.select(F.col("leader").alias("rep")), "rep", "left_semi").withColumn("c", F.col("rep"))
+    star, hubs = _hub_pairs(lead, 1)
+    tried = star.where("a <> b").where(_fits(percent)).select("a", "b").unionByName(member)
+    tried = materialize(tried.distinct(), "star-pairs")
+    free(hubs, groups)
     links = materialize(_verified(tried, sets, percent), "star-links")
-    named, mixed = _mixed(tokens, links, 0)
-    again = _hub_pairs(named.join(mixed, "token").withColumn("size", _size_class(percent)), HUBS).where("ca <> cb").where(_fits(percent)).select("a", "b").distinct()
-    again = materialize(again, "more-pairs")
-    links = materialize(links.unionByName(_verified(again, sets, percent)), "more-links")
-    named, mixed = _mixed(tokens, links, 1)
-    m = named.join(mixed, "token")
-    x = m.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    y = m.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    cross = x.join(y, "token").where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+
+    named, mixed = _named(tokens, links, 0)
+    again, hubs = _hub_pairs(named.join(mixed.select("token"), "token"), HUBS)
+    again = materialize(again.where("ca <> cb").where(_fits(percent)).select("a", "b").distinct(), "more-pairs")
+    free(hubs, named, mixed)
+    first, links = links, materialize(links.unionByName(_verified(again, sets, percent)), "more-links")
+    free(first)
+
+    named, mixed = _named(tokens, links, 1)
+    free(tokens)
     done = tried.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross.join(done, ["a", "b"], "left_anti"), "cross-pairs")
-    links = links.unionByName(_verified(cross, sets, percent))
-    label = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named_classes = materialize(classes.join(label, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "class-components")
-    out = info.select("doc_id", *key).join(named_classes, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    left = _left_pairs(named.join(mixed, "token"), percent).join(done, ["a", "b"], "left_anti")
+    left = materialize(left, "left-pairs")
+    free(named, mixed, tried, again)
+    first, links = links, materialize(links.unionByName(_verified(left, sets, percent)), "all-links")
+    free(first, left, sets)
+
+    component = _class_components(classes, links)
+    free(links)
+    out = docs_of.join(component, key, "left")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")), "jaccard")
+    free(component, classes, docs_of)
+    return out
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.c = l.a)
+SELECT r.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM reach r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id, n.n
+"""
+
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_jaccard_join": ORACLE}

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnlake.llm import embeddings, jaccard, lines, mixing, packing, pii, quality, registry, substrings, toxicity, urls
+from tarnlake.llm import blocks, embeddings, jaccard, lines, mixing, packing, pii, quality, registry, substrings, toxicity, urls
 from tarnlake.llm.kernel import words_of
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -307,6 +307,30 @@ def test_substrings_of_odd_rows(odd, none):
     assert substrings.dedup_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [3_000, 40_000])
+def test_substrings_over_many_blocks(documents, texts, monkeypatch, block_bytes):
+    """Passages go from block to block, and a passage that many blocks hold goes through a tree of them."""
+    monkeypatch.setattr(substrings, "FAN", 2)
+    monkeypatch.setattr(substrings, "Blocks", lambda d, i, t: blocks.Blocks(d, i, t, block_bytes))
+    got = substrings.dedup_substrings(documents.repartition(3)).orderBy("doc_id").collect()
+    assert [tuple(r)[:4] for r in got] == plain_dedup(texts.items())
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=3, max_size=30), st.lists(st.sampled_from("abc"), min_size=3, max_size=30), st.data())
+def test_extension_is_maximal(x, y, data):
+    x, y = [c.encode() for c in x], [c.encode() for c in y]
+    i, j = data.draw(st.integers(0, len(x) - 3)), data.draw(st.integers(0, len(y) - 3))
+    shift = j - i
+    agree = [0 <= k + shift < len(y) and x[k] == y[k + shift] for k in range(len(x))]
+    for a, b in substrings.extend(x, i, y, j, 3):
+        assert all(agree[a:b]) and a < i + 3 and b > i
+        if all(agree[i : i + 3]):
+            assert (a == 0 or not agree[a - 1]) and (b == len(x) or not agree[b])
+    assert bool(substrings.extend(x, i, y, j, 3)) == any(agree[i : i + 3])
+
+
 # --- 7: mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -413,6 +437,26 @@ def test_chains_of_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d).collect()} == {i: (len(sets[i]), comp[i]) for i, _ in rows}
 
 
+def test_two_texts_under_one_id(spark):
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    edited = lambda k, at: " ".join(w if i != at else "new" for i, w in enumerate(words(k)))
+    rows = [(1, edited("a", -1)), (1, edited("b", -1)), (2, edited("a", 3)), (3, edited("b", 3)), (4, edited("a", 50)), (5, edited("b", 50)), (6, "else"), (None, edited("b", 20)), (None, "alone here")]
+    got = sorted(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_shingles))
+    assert [(r.doc_id, r.component_id) for r in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (None, None), (None, 1)]
+
+
+def test_tokens_of_many_classes_go_by_tiles(spark, monkeypatch):
+    """Without hubs that link them, all that is left is compared in tiles: a passage in texts that are not alike, and pairs of them that are."""
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, " ".join([common, *(f"x{i // 2}_{j}" for j in range(20)), f"end{i % 2}"])) for i in range(80)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, comp = plain_components(rows)
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, comp, strict=True)}
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = {}
     for r in jaccard.jaccard_components(odd).collect():
