@@ -46,7 +46,7 @@ SKETCH_BITS = 512
 HUBS = 8
 #: Tokens of at most so many classes are joined with themselves; those of more are compared in tiles of this many.
 FEW = 48
-TILE = 1024
+TILE = 256
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

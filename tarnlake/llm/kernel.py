@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -24,6 +26,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Folds of labelled rows; those of fold 0 are held out of every fit.
+FOLDS = 5
+
+
+def fold(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     x = x.astype(np.uint64, copy=True)

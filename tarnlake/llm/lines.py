@@ -1,13 +1,12 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it over the host's
-pages; lines over the boilerplate ratio, and on ``min_pages`` pages or more, are dropped from the host's pages.
-A page that would lose over half of its lines is left alone: it is a copy, which is for a near-duplicate
-operator to judge, not a page with boilerplate.
+pages; lines over the boilerplate ratio, and on ``min_pages`` pages or more, are dropped from all of the host's pages, also
+where that leaves a page empty.
 
 Lines are split at \\n; those of blanks only are neither counted nor dropped. A null text stays null with no
-lines. Pages of a null host are one group. Repeated rows count as pages of their own. An empty table gives an
-empty result.
+lines. Pages of a null host are one group. Repeated rows count as pages of their own. A line at exactly the ratio
+stays. A very long text is handled whole, in its own row. An empty table gives an empty result.
 
 A line over the ratio takes its share of the host's pages, so a host has at most (mean lines a page) / ratio such
 lines; what is joined back to the pages is that short list. It is one row a host, kept as digests.
@@ -52,10 +51,11 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     own = [F.col(f"`{c}`") for c in pages.columns if c not in names]
     bad = materialize(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
     joined = pages.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
-    marked = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(x.alias("line"), (_full(x) & F.coalesce(F.array_contains(F.col("__bad"), _digest(x)), F.lit(False))).alias("bad"), _full(x).alias("full")))
+    is_bad = lambda x: _full(x) & F.coalesce(F.array_contains(F.col("__bad"), _digest(x)), F.lit(False))
+    marked = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(x.alias("line"), is_bad(x).alias("bad"), _full(x).alias("full")))
     lines = joined.withColumn("__lines", marked)
     lines = lines.withColumn("__all", F.coalesce(F.size(F.filter("__lines", lambda x: x.full)), F.lit(0))).withColumn("__n", F.size(F.filter("__lines", lambda x: x.bad)))
-    drop = F.coalesce((F.col("__n") > 0) & (2 * F.col("__n") <= F.col("__all")), F.lit(False))
+    drop = F.coalesce(F.col("__n") > 0, F.lit(False))
     cleaned = F.when(drop, F.array_join(F.transform(F.filter("__lines", lambda x: ~x.bad), lambda x: x.line), "\n")).otherwise(F.col(text))
     lines = lines.withColumn("__dropped", F.when(drop, F.col("__n")).otherwise(0).cast("long")).withColumn("__all", F.when(F.col(text).isNull(), 0).otherwise(F.col("__all")).cast("long"))
     return lines.withColumn(text, cleaned).select(*own, F.col("__all").alias(names[0]), F.col("__dropped").alias(names[1]))
@@ -74,8 +74,8 @@ bad AS (SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT doc_id
 m AS (SELECT l.*, bad.line IS NOT NULL AS bad FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line AND l.full_),
 d AS (SELECT doc_id, count(*) FILTER (full_) AS n_lines, count(*) FILTER (bad) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS cut FROM m GROUP BY doc_id)
 SELECT documents.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-  CAST(CASE WHEN n > 0 AND 2 * n <= n_lines THEN n ELSE 0 END AS BIGINT) AS n_dropped,
-  CASE WHEN n > 0 AND 2 * n <= n_lines THEN coalesce(cut, '') ELSE text END AS text
+  CAST(coalesce(n, 0) AS BIGINT) AS n_dropped,
+  CASE WHEN n > 0 THEN coalesce(cut, '') ELSE text END AS text
 FROM documents LEFT JOIN d USING (doc_id)
 """
 

@@ -4,15 +4,17 @@ Sources in code point order (null last) weigh 3, 1, 2, repeating, and share a bu
 twice its source's words, and what is over is shared again by weight: targets are min(2 * size, level * weight).
 
 A source's words, its documents in a hashed order, are packed into blocks of ``BLOCK`` words. The mix is dealt in
-output shards of ``SHARD_SLOTS`` slots. Each shard draws its sources' slot counts with multinomial means from one
-uniform number (systematic resampling, so a count is off its mean by under one slot). A source's slots are
-numbered over the shards; slot j reads block a * j + b modulo its number of blocks, for a multiplier without
-common factor: a permutation for each pass over the source, of which there are two at most. Slots and blocks
-are joined by source and block number.
+output shards of ``SHARD_SLOTS`` slots. A shard's source counts are a multinomial draw: each slot draws its source by
+the shares of the targets, from a hash of shard and slot. That the totals meet the targets too, a source that has had
+its slots draws no more, and what others lack in the end goes to the last shard; so the last shards are corrected,
+the others are as drawn. A source's slots are numbered over the shards; slot j reads block a * j + b modulo its
+number of blocks, for a multiplier without common factor: a permutation for each pass over the source, of which there
+are two at most. Slots and blocks are joined by source and block number.
 
 All numbers come from hashes of source rank, shard and pass, so reruns agree. Null or empty texts have size 0 and
-are taken 0 times; a source of size 0 has target 0. Rows of one id are documents of their own. An empty table
-gives an empty result; other columns are ignored.
+are taken 0 times; a source of size 0 has target 0; very long texts lie in many blocks. Rows of one id are documents
+of their own. An empty table gives an empty result; other columns are ignored. Sources are ranked in one task and
+their shares go with each shard's row, so there may be some ten thousand sources, not millions.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from tarnlake.session import materialize, table
 
 BLOCK = 128
-SHARD_SLOTS = 65_536
+SHARD_SLOTS = 8192
+#: Tasks that shards are dealt over, at most.
+MAX_TASKS = 4096
 SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
@@ -57,25 +61,55 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return s.select("source", "sid", "source_size", target.alias("target"))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(sid, block, pass): which block each slot of the mix reads."""
-    every = Window.orderBy("sid")
+def wanted(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row a source with words: its blocks n, its slots, and those of the sources before it."""
     n = F.ceil(F.col("source_size") / block)
-    s = sources.where("source_size > 0").select("sid", n.alias("n"), (F.col("target") * n / F.col("source_size")).alias("q"))
-    s = s.withColumn("all", F.sum("q").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("all") / shard_slots)))
-    s = s.withColumn("hi", F.sum(F.col("q") / F.col("shards")).over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(every), F.lit(0.0)))
-    dealt = s.select("sid", "n", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    u = unit(F.lit("draw"), F.col("shard"))
-    dealt = dealt.withColumn("count", F.floor(F.col("hi") + u) - F.floor(F.col("lo") + u))
+    slots_ = F.round(F.col("target") * n / F.col("source_size")).cast("long")
+    s = sources.where("source_size > 0").select("sid", n.alias("n"), slots_.alias("slots")).where("slots > 0")
+    every = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return s.withColumn("upto", F.sum("slots").over(every))
+
+
+def draws(want: DataFrame, total: int, shard_slots: int) -> DataFrame:
+    """(shard, sid, drawn): multinomial counts. Each of a shard's slots draws a source by the shares of the slots."""
+    shards = -(-total // shard_slots)
+    line = want.agg(F.sort_array(F.collect_list(F.struct("upto", "sid"))).alias("line"))  # one short entry a source
+    each = line.select("line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    each = each.repartition(min(shards, MAX_TASKS), "shard")
+    last = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots) - 1
+    each = each.select("line", "shard", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slot"))
+    point = F.floor(unit(F.lit("draw"), F.col("shard"), F.col("slot")) * total)
+    passed = F.size(F.filter("line", lambda x: x["upto"] <= F.col("point")))
+    drawn = each.withColumn("point", point).select("shard", F.get("line", passed)["sid"].alias("sid"))
+    return drawn.groupBy("shard", "sid").agg(F.count("*").alias("drawn"))
+
+
+def shard_counts(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(sid, shard, n, begin, end): which of its slots each source has in a shard."""
+    want = materialize(wanted(sources, block), "mix-wanted")
+    total = want.agg(F.max("upto")).first()[0] or 0
+    if not total:
+        return want.select("sid", F.col("n").alias("shard"), "n", F.col("slots").alias("begin"), F.col("slots").alias("end"))
+    dealt = materialize(draws(want, total, shard_slots), "mix-draws").join(want, "sid")
     by = Window.partitionBy("sid").orderBy("shard")
-    dealt = dealt.withColumn("end", F.least(F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), MOST * F.col("n")))
-    dealt = dealt.withColumn("begin", F.least(F.coalesce(F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), MOST * F.col("n")))
-    each = dealt.where("end > begin").select("sid", "n", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("j"))
+    dealt = dealt.withColumn("upto", F.sum("drawn").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    begin, end = F.least(F.col("upto") - F.col("drawn"), F.col("slots")), F.least("upto", "slots")
+    drawn = dealt.select("sid", "shard", "n", begin.alias("begin"), end.alias("end"))
+    had = dealt.groupBy("sid").agg(F.sum("drawn").alias("had"))
+    lack = want.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
+    last = F.lit((total - 1) // shard_slots).cast("long").alias("shard")
+    return drawn.unionByName(lack.select("sid", last, "n", F.col("had").alias("begin"), F.col("slots").alias("end"))).where("end > begin")
+
+
+def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(sid, block, pass): which block each slot of the mix reads."""
+    dealt = materialize(shard_counts(sources, block, shard_slots), "mix-shards")
+    dealt = dealt.repartition(max(1, min(dealt.count(), MAX_TASKS)), "sid", "shard")  # few rows, each of many slots
+    each = dealt.select("sid", "n", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("j"))
     each = each.select("sid", "n", F.floor(F.col("j") / F.col("n")).alias("pass"), (F.col("j") % F.col("n")).alias("i"))
     first = F.pmod(F.xxhash64(F.lit("multiplier"), "sid", "pass"), F.lit(len(PRIMES))).cast("int")
-    turned = [F.element_at(F.array(*[F.lit(p) for p in PRIMES]), ((first + k) % len(PRIMES) + 1).cast("int")).cast("long") for k in range(3)]
+    primes = F.array(*[F.lit(p) for p in PRIMES])
+    turned = [F.element_at(primes, ((first + k) % len(PRIMES) + 1).cast("int")).cast("long") for k in range(3)]
     factor = F.when(F.col("n") % turned[0] != 0, turned[0]).when(F.col("n") % turned[1] != 0, turned[1]).otherwise(turned[2])
     shift = F.pmod(F.xxhash64(F.lit("shift"), "sid", "pass"), F.col("n"))
     return each.select("sid", ((factor * F.col("i") + shift) % F.col("n")).alias("block"), "pass")

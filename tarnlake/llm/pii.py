@@ -11,11 +11,13 @@ documents or more are generalised from ``GENERALISE`` on and removed from ``REMO
 documents that hold it; documents that name a term without the entity keep it.
 
 As n(t, e) is at most n(e), a term of df(t) > sqrt(N * n(e)) can't reach ``GENERALISE`` (of 0.5 or more). So terms are
-counted first, the common ones are left out, and only the others are paired with entities. Only candidate terms are counted: a bitmap of their hashes, of at most ``BITMAP_BITS`` bits, goes to the pass over all
-documents; what it lets through by chance is dropped by the join on the hashes themselves.
+counted first, the common ones are left out, and only the others are paired with entities. Only candidate terms are
+counted: a bitmap of their hashes, of at most ``BITMAP_BITS`` bits, goes to the pass over all documents; what it lets
+through by chance is dropped by the join on the hashes themselves.
 
-Null texts count as empty. Repeated rows are documents of their own. An empty table gives an empty result; other
-columns are ignored.
+Null texts count as empty and stay null where texts are returned. Repeated rows, and rows of one id or of a null id,
+are documents of their own. Very long texts are taken whole. A term at exactly a threshold is over it. An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +102,10 @@ def _value(kind: int, s: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>, terms array<long>, starts array<int>, ends array<int>"
+_FOUND = (
+    "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, "
+    "entities array<long>, terms array<long>, starts array<int>, ends array<int>"
+)
 
 
 def _free_words(texts: pa.Array, spans: list[list[tuple[int, int, int]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,25 +129,33 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(kind.to_pandas_dtype()), kind))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans, counts and entities of each whole text, and all terms of the texts with entities."""
+def find(docs: DataFrame) -> DataFrame:
+    """Base spans, counts and entities of each whole text, and all terms of the texts with entities, of (doc_id, text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for b in slices(batches):
             strings = [t or "" for t in b.column(1).to_pylist()]
             spans = [base_spans(t) for t in strings]
             texts = [shown(s) for s in spans]
             own = [i for i, s in enumerate(spans) if s]
-            entities: list = [sorted({_value(k, t[x:y]) for x, k, y in s}) for s, t in zip(spans, strings, strict=True)]
-            none = np.zeros(0, np.int64)
+            entities = [np.array(sorted({_value(k, t[x:y]) for x, k, y in s}), np.int64) for s, t in zip(spans, strings, strict=True)]
             words = [(none, none, none)] * len(spans)
-            for i, x in zip(own, _free_words(b.column(1).take(pa.array(own, pa.int64())), [spans[i] for i in own]) if own else [], strict=True):
-                words[i] = x
-            lists = [_lists([np.array(e, np.int64) for e in entities], pa.int64()), *(_lists([x[k] for x in words], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))]
-            counts = [pa.array([sum(1 for x in s if x[1] == k) for s in spans], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(texts, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), *lists], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "terms", "starts", "ends"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FOUND)
+            if own:
+                free = _free_words(b.column(1).take(pa.array(own, pa.int64())), [spans[i] for i in own])
+                for i, x in zip(own, free, strict=True):
+                    words[i] = x
+            columns = {"doc_id": b.column(0), "row": b.column(2)}
+            for k, name in enumerate(KINDS[:4]):
+                columns[f"n_{name}"] = pa.array([sum(1 for x in s if x[1] == k) for s in spans], pa.int64())
+            columns["base"] = pa.array(texts, pa.string())
+            columns["base_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+            columns["entities"] = _lists(entities, pa.int64())
+            for k, (name, kind) in enumerate((("terms", pa.int64()), ("starts", pa.int32()), ("ends", pa.int32()))):
+                columns[name] = _lists([x[k] for x in words], kind)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select("doc_id", "text", "row").mapInArrow(run, _FOUND)
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -200,13 +213,14 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
 _SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, removed string"
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: counts, base digest, all spans, and of the term spans those to remove."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(find(d).withColumn("row", F.monotonically_increasing_id()), "pii")
-    by_row = disclosing(d, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("t", "disclosure"))).alias("hits"))
+def _judged(docs: DataFrame) -> DataFrame:
+    """(row, and _SPANS) of (doc_id, text, row); rows must not change when they are read again."""
+    found = materialize(find(docs), "pii")
+    by_row = disclosing(docs, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("t", "disclosure"))).alias("hits"))
     own = lambda c: F.when(F.col("hits").isNotNull(), F.col(c)).alias(c)
-    rows = found.join(materialize(by_row, "disclosing"), "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", own("terms"), own("starts"), own("ends"), F.col("hits.t").alias("ts"), F.col("hits.disclosure").alias("ds"))
+    rows = found.join(materialize(by_row, "disclosing"), "row", "left")
+    counts = [f"n_{k}" for k in KINDS[:4]]
+    rows = rows.select("row", "doc_id", *counts, "base_sha256", "base", *map(own, ("terms", "starts", "ends")), F.col("hits.t").alias("ts"), F.col("hits.disclosure").alias("ds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,14 +233,25 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 base = [(int(x), KINDS.index(k), int(y)) for k, x, y in (s.split(":") for s in filter(None, all_[i].split(",")))]
                 all_[i] = shown(sorted(base + [(x, KINDS.index("term"), y) for x, y, _ in near]))
                 removed[i] = ",".join(f"{x}:{y}" for x, y, share in near if share >= REMOVE)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(6)), pa.array(all_, pa.string()), pa.array(removed, pa.string())], names=[x.split()[0] for x in _SPANS.split(", ")])
+            arrays = [*(b.column(k) for k in range(7)), pa.array(all_, pa.string()), pa.array(removed, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", *(x.split()[0] for x in _SPANS.split(", "))])
+
+    return rows.mapInArrow(run, "row long, " + _SPANS)
+
 
-    return rows.mapInArrow(run, _SPANS)
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: counts, base digest, all spans, and of the term spans those to remove."""
+    return _judged(_numbered(docs, id_col, text_col)).drop("row")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): entities as [KIND], disclosing terms as [TERM] or, from REMOVE on, left out. Ids must be unique."""
-    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans(docs, id_col, text_col), "doc_id").select("doc_id", "text", "spans", "removed")
+    """(doc_id, text) of each row: entities as [KIND], disclosing terms as [TERM] or, from REMOVE on, left out."""
+    texts = materialize(_numbered(docs, id_col, text_col), "texts")
+    joined = texts.join(_judged(texts).select("row", "spans", "removed"), "row").select("doc_id", "text", "spans", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +261,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for s in filter(None, own.split(",")):
                     kind, x, y = s.split(":")
                     if int(y) > at:
-                        parts += [text[at : max(at, int(x))], "" if f"{x}:{y}" in drop and kind == "term" else f"[{kind.upper()}]"]
+                        left_out = kind == "term" and f"{x}:{y}" in drop
+                        parts += [text[at : max(at, int(x))], "" if left_out else f"[{kind.upper()}]"]
                         at = int(y)
                 out.append(None if text is None else "".join(parts) + text[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])

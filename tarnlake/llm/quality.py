@@ -6,10 +6,12 @@ other third, and is kept while it is precise there; the rows that it covers are
 grown. The list is emitted as one ordered conditional expression of Spark: the first rule that holds decides,
 and a text that none covers is kept.
 
-Fitted on at most ``MAX_FIT_ROWS`` labelled rows, half of each label, by the order of a hash of the id. Each row weighs
-as many labelled rows as it stands for, so gain, pruning worth and precision are those of the labels' true share,
-whatever the input's size; without both labels no rule is learned. Null and empty texts have zeros as statistics and fail the base rule. Repeated rows get
-repeated results; an empty table gives an empty result; other columns are ignored.
+Fitted on at most ``MAX_FIT_ROWS`` labelled rows, half of each label, by the order of a hash of the id; rows whose
+crc32(id as text) mod 5 is 0 are held out, for measuring (``held_out_figures``). Each row weighs as many labelled rows
+as it stands for, so gain, pruning worth and precision are those of the labels' true share, whatever the input's size;
+without both labels no rule is learned. Of conditions of one gain the first by ratio and threshold is taken. Null and
+empty texts have zeros as statistics and fail the base rule. Very long texts are taken whole. Repeated rows get
+repeated results; of labels of one id one is taken. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.kernel import mix, slices, words_of
+from tarnlake.llm.kernel import fold, mix, slices, words_of
 from tarnlake.session import materialize, table
 
 MAX_FIT_ROWS = 20_000
@@ -160,6 +162,15 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[int, bool,
     return found
 
 
+def merged(conditions: list[tuple[int, bool, float]]) -> list[tuple[int, bool, float]]:
+    """Of conditions on the same side of a ratio only the tightest."""
+    out: dict[tuple[int, bool], float] = {}
+    for j, least, t in conditions:
+        old = out.get((j, least), t)
+        out[j, least] = max(old, t) if least else min(old, t)
+    return [(j, least, t) for (j, least), t in out.items()]
+
+
 def _precision(y: np.ndarray, w: np.ndarray, c: np.ndarray) -> float:
     return float(w[y & c].sum() / w[c].sum())
 
@@ -184,7 +195,7 @@ def learn(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> list[Rul
             return (p - n) / (p + n) if p + n else -1.0
 
         k = max(range(1, len(conditions) + 1), key=lambda k: (round(worth(k), 9), -k))
-        rule = Rule(conditions[:k], 0, 0)
+        rule = Rule(merged(conditions[:k]), 0, 0)
         c = rule.holds(x[on])
         rule.precision, rule.cover = _precision(y[on], w[on], c) if c.any() else 0.0, int(c.sum())
         held = rule.holds(x[prune])
@@ -204,12 +215,14 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[Rule]:
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"]).withColumn("r", F.xxhash64("doc_id"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.where(fold(F.col("doc_id")) != 0).dropDuplicates(["doc_id"]).withColumn("r", F.xxhash64("doc_id"))
     half = MAX_FIT_ROWS // 2
     counts = {n["y"]: n["count"] for n in known.groupBy("y").count().collect()}  # one row a label
     picked = known.where("y = 0").orderBy("r", "doc_id").limit(half).unionByName(known.where("y = 1").orderBy("r", "doc_id").limit(half))
-    rows = stats.join(F.broadcast(picked), "doc_id").select("doc_id", "r", "y", *[ratio(n).alias(f"x{i}") for i, n in enumerate(RATIOS)]).dropDuplicates(["doc_id"]).toPandas()  # at most MAX_FIT_ROWS rows
-    rows = rows.sort_values(["r", "doc_id"])
+    named = [ratio(n).alias(f"x{i}") for i, n in enumerate(RATIOS)]
+    rows = stats.join(F.broadcast(picked), "doc_id").select("doc_id", "r", "y", *named).dropDuplicates(["doc_id"])
+    rows = rows.toPandas().sort_values(["r", "doc_id"])  # at most MAX_FIT_ROWS rows
     y = rows["y"].to_numpy() == 0
     if y.all() or not y.any():
         return []
@@ -224,6 +237,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & kept).alias("kept"))
 
 
+def held_out_figures(result: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Of held-out labelled rows that the base rule passes: how many of low quality go, and how many good ones stay."""
+    known = labels.where("quality in (0, 1)").where(fold(F.col("doc_id")) == 0).dropDuplicates(["doc_id"])
+    rows = result.where("not base_failed").join(known.select("doc_id", "quality"), "doc_id")
+    by = {r.quality: (r.n, r.kept) for r in rows.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    low, good = by.get(0, (0, 0)), by.get(1, (0, 0))
+    return {"low": low[0], "low_rejected": low[0] - low[1], "good": good[0], "good_kept": good[1]}
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
