@@ -137,6 +137,27 @@ def file_kind(path: Column) -> Column:
     return F.when(e.isin(".ckpt", ".pt", ".pth", ".safetensors"), "checkpoint").when(e.isin(".npz", ".npy", ".parquet"), "features").when(e.isin(".json", ".csv", ".md"), "report").when(e.isin(".log", ".out", ".err"), "log").otherwise("other")
 
 
+def readable_bytes(n: Column) -> Column:
+    """In the largest unit under 1024 of it, with one decimal from KB on."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.format_string("%.1f TB", n / float(1 << 40))
+    for k in range(len(units) - 2, -1, -1):
+        shown = F.concat(n.cast("long").cast("string"), F.lit(" B")) if k == 0 else F.format_string(f"%.1f {units[k]}", n / float(1 << 10 * k))
+        out = F.when(n < float(1 << 10 * (k + 1)), shown).otherwise(out)
+    return out
+
+
+def checkpoint_kind(name: Column) -> Column:
+    """What a run's file is: its averaged weights, last or periodic checkpoint, end marker, or anything else."""
+    periodic = name.startswith("ckpt-") & name.endswith(".ckpt")
+    return F.when(name.isin("ema_backbone.pt", "last.ckpt", "DONE"), name).when(periodic, "periodic ckpt").otherwise("tb / other")
+
+
+def cache_task(task: Column) -> Column:
+    """The bucket of a feature cache by the task that its sidecar names."""
+    return F.coalesce(F.concat(F.lit("cache/"), task), F.lit("cache (unattributed)"))
+
+
 def egress_cost(nbytes: Column) -> Column:
     return nbytes / float(1 << 30) * 0.09
 
@@ -154,9 +175,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def sign_hash(v: Column) -> Column:
-    """The signs of 64 numbers as the bits of a bigint, the first number highest."""
-    bits = F.array_join(F.transform(F.slice(v, 1, 64), lambda x: F.when(x > 0, "1").otherwise("0")), "")
-    return F.conv(bits, 2, -10).cast("bigint")
+    """The signs of 64 numbers as the bits of a bigint, the first number highest; null for any other length."""
+    bits = F.array_join(F.transform(v, lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    return F.when(F.size(v) == 64, F.conv(bits, 2, -10).cast("bigint"))
 
 
 def seeded_order(seed: str | int, *key: Column) -> Column:
@@ -213,6 +234,12 @@ def softmax(z: Column) -> Column:
     return F.transform(e, lambda x: x / array_sum(e))
 
 
+def as_probabilities(x: Column, floor: float = 1e-7) -> Column:
+    """Rows that are probabilities already (none below 0, sum 1) as they are but for the floor; others by softmax."""
+    already = F.forall(x, lambda p: p >= 0) & (F.abs(array_sum(x) - 1) <= 1e-3 + 1e-5)
+    return F.when(already, F.transform(x, lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(floor)))).otherwise(softmax(x))
+
+
 # --- schedules ------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """k-nearest-neighbour join by cosine, and weighted votes.
 
-The references are shipped to the query scan if they are at most ``BROADCAST_ROWS`` rows, else both sides are dealt
-into blocks and each (query block, reference block) yields partial top-k lists, which a window merges. Only k rows a query
-and block move; no pair table is ever formed.
+The references are shipped to the query scan if they are at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` of
+numbers, else both sides are dealt into blocks and each (query block, reference block) yields partial top-k lists, which
+a window merges. The search is exact, so every query meets every reference: blocks cost queries * references * numbers
+multiplications, spread over all tasks, but only k rows a query and block move; no pair table is ever formed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tarnlake.session import materialize
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 50_000
 QUERY_SLICE = 2048
 _SCHEMA = "id long, y int, ref_id long, ref_y int, sim double"
@@ -38,12 +40,14 @@ def top_k(q: np.ndarray, r: np.ndarray, ref_id: np.ndarray, k: int) -> tuple[np.
         bar = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]  # ties at the bar are settled by id below
     else:
         bar = np.full((len(q), 1), -np.inf)
-    at, val = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
-    for i in range(len(q)):
-        c = np.flatnonzero(sim[i] >= bar[i])
-        c = c[np.lexsort((ref_id[c], -sim[i, c]))][:k]
-        at[i], val[i] = c, sim[i, c]
-    return at, val
+    above = sim >= bar
+    row, at = np.nonzero(above)
+    val = sim[row, at]
+    order = np.lexsort((ref_id[at], -val, row))
+    row, at, val = row[order], at[order], val[order]
+    begin = np.searchsorted(row, np.arange(len(q)))
+    keep = (begin[:, None] + np.arange(k)).ravel()  # ties at the bar come after these
+    return at[keep].reshape(len(q), k), val[keep].reshape(len(q), k)
 
 
 def _neighbours(ids, y, q, ref_ids, ref_y, r, k) -> Iterator[pa.RecordBatch]:
@@ -57,11 +61,11 @@ def _neighbours(ids, y, q, ref_ids, ref_y, r, k) -> Iterator[pa.RecordBatch]:
 def knn_join(query: DataFrame, reference: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, y, ref_id, ref_y, sim, rank): the k nearest references of each query. Both sides: id, y, v."""
     q, r = (d.select(F.col("id").cast("long"), F.col("y").cast("int"), "v") for d in (query, reference))
-    n = r.count()
+    n, numbers = r.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     if not n:
         return query.sparkSession.createDataFrame([], _SCHEMA + ", rank int")
-    if n <= broadcast_rows:
-        t = r.toArrow().combine_chunks()  # at most broadcast_rows rows
+    if n <= broadcast_rows and 8 * numbers <= BROADCAST_BYTES:
+        t = r.toArrow().combine_chunks()  # at most broadcast_rows rows and BROADCAST_BYTES
         own = q.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), t.column("y").to_numpy(), unit_rows(t.column("v").chunk(0))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,8 @@ def votes(neighbours: DataFrame, k: int, tau: float) -> DataFrame:
 
 def probabilities(vote: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, y, cls, p) over the full id by class grid; ``classes`` (column cls) is the short class list."""
-    every = vote.select("id", "y").distinct().join(F.broadcast(classes), F.lit(True))  # one row a class
+    line = classes.agg(F.sort_array(F.collect_set("cls")).alias("line"))  # one row, an entry a class
+    every = vote.select("id", "y").distinct().join(line, F.lit(True)).select("id", "y", F.explode("line").alias("cls"))
     total = F.sum("vote").over(Window.partitionBy("id"))
     dense = every.join(vote.select("id", "cls", "vote"), ["id", "cls"], "left").withColumn("vote", F.coalesce("vote", F.lit(0.0)))
     return dense.select("id", "y", "cls", (F.col("vote") / F.greatest(total, F.lit(1e-7))).alias("p"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
+from tarnlake.operators.ranks import numbered
 
 # --- dedup ----------------------------------------------------------------------------------------------------------
 
@@ -57,32 +58,33 @@ def duplicate_clusters(rows: DataFrame, digest: str) -> DataFrame:
 # --- packing and batches --------------------------------------------------------------------------------------------
 
 
-def pack_shards(rows: DataFrame, group: str, order: list[str], pack: int) -> DataFrame:
-    """Adds shard (from 0 in each group): every ``pack`` rows in order."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("shard", F.floor((rn - 1) / pack).cast("int"))
+def pack_shards(rows: DataFrame, group: str, order: list[str], pack: int, name: str = "shard") -> DataFrame:
+    """Adds ``name`` (from 0 in each group): every ``pack`` rows in order."""
+    rows = numbered(rows, [group], order, "__rank")
+    return rows.withColumn(name, F.floor((F.col("__rank") - 1) / pack).cast("int")).drop("__rank")
 
 
 def batch_plan(rows: DataFrame, part: str, order: list, size: int) -> DataFrame:
     """Adds batch (from 0): full batches and a shorter tail; a tail of one row joins the batch before it."""
     if size < 2:
         raise ValueError("a batch takes two rows at least")
-    rn = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(part))
+    rows = numbered(rows, [part], order, "__rank", "__n")
+    rn, n = F.col("__rank"), F.col("__n")
     alone = (n % size == 1) & (rn == n)
-    return rows.withColumn("batch", (F.floor((rn - 1) / size) - F.when(alone, 1).otherwise(0)).cast("int"))
+    return rows.withColumn("batch", (F.floor((rn - 1) / size) - F.when(alone, 1).otherwise(0)).cast("int")).drop("__rank", "__n")
 
 
-def batch_sizes(n: int, size: int) -> list[int]:
+def batch_count(n: int, size: int) -> int:
+    """How many batches ``batch_plan`` makes of n rows."""
     if n < 2 or size < 2:
         raise ValueError("two items and a batch size of two at least")
-    out = [size] * (n // size)
-    tail = n % size
-    if tail == 1 and out:
-        out[-1] += 1
-    elif tail:
-        out.append(tail)
-    return out
+    return max(1, -(-n // size) - (n % size == 1))
+
+
+def batch_sizes(n: int, size: int) -> list[int]:
+    """Sizes of these batches: all full but the last."""
+    full = batch_count(n, size) - 1
+    return [size] * full + [n - full * size]
 
 
 # --- selection ------------------------------------------------------------------------------------------------------

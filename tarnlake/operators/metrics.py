@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.ranks import running
+
 
 def predictions(probs: DataFrame) -> DataFrame:
     """(id, y, pred, conf); ties go to the lowest class."""
@@ -27,13 +29,17 @@ def accuracy_metrics(pred: DataFrame) -> DataFrame:
 
 
 def mid_rank_auroc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """AUROC of (score, positive) within ``by``, by mid-ranks; null where only one class is there."""
-    w = Window.partitionBy(*by).orderBy("score")
-    ties = Window.partitionBy(*by, "score")
-    r = scored.withColumn("r", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
-    n1, n = F.sum(F.col("positive").cast("long")), F.count("*")
-    u = F.sum(F.when(F.col("positive"), F.col("r"))) - n1 * (n1 + 1) / 2.0
-    return r.groupBy(*by).agg(F.when((n1 > 0) & (n1 < n), u / (n1 * (n - n1))).alias("auroc"))
+    """AUROC of (score, positive) within ``by``, by mid-ranks; null where only one class is there.
+
+    Rows are counted by score first, and only distinct scores are put in order, over as many tasks as they need.
+    """
+    counts = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.count_if("positive").alias("n1"))
+    placed = running(counts, by, ["score"], "n", "upto", "total")
+    middle = F.col("upto") - (F.col("n") - 1) / 2.0  # the mean rank of rows of this score
+    sums = placed.groupBy(*by).agg(F.sum(F.col("n1") * middle).alias("ranks"), F.sum("n1").alias("n1"), F.max("total").alias("n"))
+    u = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2.0
+    both = (F.col("n1") > 0) & (F.col("n1") < F.col("n"))
+    return sums.select(*by, F.when(both, u / (F.col("n1") * (F.col("n") - F.col("n1")))).alias("auroc"))
 
 
 def auroc_ovr(probs: DataFrame) -> DataFrame:

@@ -23,6 +23,17 @@ def long_results(docs: DataFrame, columns: tuple[str, ...], provenance: tuple[st
     return r.select(*[value(c) for c in columns])
 
 
+#: What reports are ordered by, as far as they have it.
+ORDER = ("dataset", "task", "protocol", "init", "objective", "stage", "temp_scaled")
+
+
+def ordered(results: DataFrame, name: str = "pos") -> DataFrame:
+    """Adds ``name``: each row's place in the order of reports, from 1; missing values last, then by all other columns."""
+    keys = [F.col(c).asc_nulls_last() for c in ORDER if c in results.columns]
+    rest = [F.col(c).asc_nulls_last() for c in results.columns if c not in ORDER]
+    return results.withColumn(name, F.row_number().over(Window.orderBy(*keys, *rest)))  # a report's rows, not the corpus'
+
+
 def delta_view(results: DataFrame) -> DataFrame:
     """Post rows against the pre row of the same keys: d_<metric> = post - pre. Null keys are equal to each other."""
     there = [m for m in METRICS if m in results.columns]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
+from tarnlake.operators.ranks import numbered
 
 
 def canonical_classes(rows: DataFrame, label: str, min_class: int = 1) -> DataFrame:
@@ -17,11 +18,11 @@ def canonical_classes(rows: DataFrame, label: str, min_class: int = 1) -> DataFr
 def stratified_split(rows: DataFrame, label: str, key: str, reference: float = 0.6, cal: float = 0.15, seed: int = 0) -> DataFrame:
     """Adds split: by seeded rank within the class; max(1, round(.6 n)) reference, round(.15 n) cal, the rest query.
     Halves round to even."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(S.seeded_order(seed, F.col(key)), key))
-    n = F.count("*").over(w)
+    rows = numbered(rows, [label], [S.seeded_order(seed, F.col(key)), key], "__rank", "__n")
+    rank, n = F.col("__rank"), F.col("__n")
     n_ref, n_cal = F.greatest(F.lit(1), F.bround(F.lit(reference) * n)), F.bround(F.lit(cal) * n)
-    return rows.withColumn("split", F.when(rank <= n_ref, "reference").when(rank <= n_ref + n_cal, "cal").otherwise("query"))
+    split = F.when(rank <= n_ref, "reference").when(rank <= n_ref + n_cal, "cal").otherwise("query")
+    return rows.withColumn("split", split).drop("__rank", "__n")
 
 
 def quota_order(quotas: dict[str, int]) -> list[str]:
@@ -46,8 +47,8 @@ def grouped_split(rows: DataFrame, group: str, stratum: str, quotas: dict[str, i
     if sum(quotas.values()) > have:
         raise ValueError(f"{sum(quotas.values())} groups asked for, {have} there")
     order = spark.createDataFrame(list(enumerate(quota_order(quotas), 1)), "pos int, part string")
-    numbered = groups.withColumn("pos", F.row_number().over(Window.orderBy(stratum, S.seeded_order(seed, F.col(group)), group)))
-    return numbered.join(order, "pos").select(group, stratum, "part")
+    placed = numbered(groups, [], [F.col(stratum), S.seeded_order(seed, F.col(group)), group], "pos")
+    return placed.join(order, "pos").select(group, stratum, "part")
 
 
 def class_cap(rows: DataFrame, label: str, order: list, cap: int) -> DataFrame:
@@ -55,14 +56,14 @@ def class_cap(rows: DataFrame, label: str, order: list, cap: int) -> DataFrame:
 
 
 def stride_sample(rows: DataFrame, part: str, order: list, stride: int) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where((F.col("_k") - 1) % stride == 0).drop("_k")
+    return numbered(rows, [part], order, "_k").where((F.col("_k") - 1) % stride == 0).drop("_k")
 
 
 def negative_cap(rows: DataFrame, label: str, key: str, per_positive: int, seed: int = 0) -> DataFrame:
     """All positives (label 1) and per_positive * max(1, positives) negatives at most, by seeded order."""
     most = per_positive * max(1, rows.where(F.col(label) == 1).count())
-    neg = rows.where(F.col(label) == 0).orderBy(S.seeded_order(seed, F.col(key)), key).limit(most)
-    return rows.where(F.col(label) == 1).unionByName(neg)
+    neg = numbered(rows.where(F.col(label) == 0), [], [S.seeded_order(seed, F.col(key)), key], "__rank")
+    return rows.where(F.col(label) == 1).unionByName(neg.where(F.col("__rank") <= most).drop("__rank"))
 
 
 def group_cap(rows: DataFrame, group: list[str], key: str, cap: int, seed: int = 0) -> DataFrame:
@@ -129,6 +130,12 @@ def sampled_stream(rows: DataFrame, shard: str, key: str, draws: int, seed: int
     return picks.join(shards, "_i").join(rows.select(shard, key), shard).withColumn("pos", F.row_number().over(Window.partitionBy("draw").orderBy(S.seeded_order(seed, F.col("draw"), F.col(key)), key))).select("draw", "pos", shard, key)
 
 
+def whole_archives(rows: DataFrame, archive: str, n: int, seed: int = 0) -> DataFrame:
+    """All rows of n archives, the first by seeded order."""
+    picked = rows.select(archive).distinct().orderBy(S.seeded_order(seed, F.col(archive)), archive).limit(n)
+    return rows.join(picked, archive, "left_semi")
+
+
 def first_paths(files: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` files by path."""
     return files.orderBy("path").limit(cap)

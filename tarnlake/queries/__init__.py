@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnlake.queries import documents, embeddings, reports, splits
+from tarnlake.queries import documents, embeddings, pictures, reports, splits
 
-MODULES = (embeddings, documents, splits, reports)
+MODULES = (embeddings, documents, splits, reports, pictures)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:

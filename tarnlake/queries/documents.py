@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tarnlake.functions import scalars as S
 from tarnlake.operators import lake
 from tarnlake.operators.reports import histogram_sum, redundancy_rollup, storage
 from tarnlake.operators.splits import size_mismatch
-from tarnlake.session import table
+from tarnlake.session import materialize, table
 from tarnlake.sources import lake as lake_files
 
 QUERIES: dict = {}
@@ -248,13 +250,20 @@ def top_lengths(spark, sf):
     return table(spark, sf, "documents").groupBy("n_chars").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "n_chars").limit(12)
 
 
-@query("partition_repair")
+@query("partition_repair", M + " SELECT shard_group, count(*) AS n FROM m GROUP BY shard_group")
 def partition_repair(spark, sf):
-    """Write the manifest partitioned, register it as an external table and repair its partitions."""
-    return lake_files.external_table(spark, lake_files.write_manifest(manifest(spark, sf).drop("shard_index"))).groupBy("shard_group").agg(F.count("*").alias("n"))
-
-
-@query("feature_cache")
+    """Write the manifest partitioned, register it as an external table and repair its partitions; then drop both."""
+    path = lake_files.write_manifest(manifest(spark, sf).drop("shard_index"))
+    name = f"manifest_{uuid.uuid4().hex}"
+    try:
+        groups = lake_files.external_table(spark, path, name).groupBy("shard_group").agg(F.count("*").alias("n"))
+        return materialize(groups, "shard-groups")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        lake_files.remove(spark, path)
+
+
+@query("feature_cache", "SELECT doc_id, CAST(length(text) AS INTEGER) AS x FROM documents")
 def feature_cache(spark, sf):
     """Read-through cache: the second call reads the files of the first."""
     d = table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("x"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
@@ -219,8 +219,11 @@ def error_auroc(spark, sf):
 
 @query("evidence_scale")
 def evidence_scale(spark, sf):
+    """Fitted on the calibration half, with the loss of the Dirichlet mean on the other half."""
     p = kept_probs(spark, sf)
-    return spark.createDataFrame([(fits.fit_evidence_scale(p.where(F.col("id") % 2 == 0)),)], "scale double")
+    scale = fits.fit_evidence_scale(p.where(F.col("id") % 2 == 0))
+    mean = metrics.dirichlet(p.where(F.col("id") % 2 == 1), scale)
+    return mean.where("y = cls").agg(F.avg(-F.log("mean")).alias("nll")).select(F.lit(scale).alias("scale"), "nll")
 
 
 # --- hashes: the signs of the 64 dimensions -------------------------------------------------------------------------
@@ -283,25 +286,50 @@ def nn_histogram(spark, sf):
 # --- vectors --------------------------------------------------------------------------------------------------------
 
 
-@query("layernorm_pool", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-m AS (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM e), s AS (SELECT vec_id, v, m, list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v) AS s FROM m)
-SELECT vec_id, round((v[1] - m) / sqrt(s + CAST(1e-5 AS DOUBLE)), 6) AS first, round((v[64] - m) / sqrt(s + CAST(1e-5 AS DOUBLE)), 6) AS last FROM s""")
+WEIGHTED = "list_sum(list_transform(range(1, len({v}) + 1), lambda i: i * {v}[i]))"
+
+
+def weighted(v) -> Column:
+    """A sum over a whole vector that tells its components apart: i times the i-th."""
+    return F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+@query("layernorm_pool", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+m AS (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM e), s AS (SELECT vec_id, v, m, list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v) AS s FROM m),
+l AS (SELECT vec_id, list_transform(v, lambda x: (x - m) / sqrt(s + CAST(1e-5 AS DOUBLE))) AS n FROM s)
+SELECT vec_id, round(n[1], 6) AS first, round({WEIGHTED.format(v='n')}, 4) AS weighted FROM l""")
 def layernorm_pool(spark, sf):
     n = S.layer_norm(S.doubles(F.col("embedding")))
-    return table(spark, sf, "embeddings").select("vec_id", R6(F.element_at(n, 1)).alias("first"), R6(F.element_at(n, 64)).alias("last"))
+    return table(spark, sf, "embeddings").select("vec_id", n.alias("n")).select("vec_id", R6(F.element_at("n", 1)).alias("first"), F.round(weighted("n"), 4).alias("weighted"))
 
 
-@query("token_pool", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[5] AS DOUBLE)) / 2, 6) AS first FROM embeddings")
+@query("token_pool", """WITH t AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings)
+SELECT vec_id, CAST((i - 1) % 4 AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM t GROUP BY ALL""")
 def token_pool(spark, sf):
+    """A vector as tokens of four numbers each, and their mean."""
     v = S.doubles(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", R6(F.element_at(S.mean_pool(F.array(F.slice(v, 1, 4), F.slice(v, 5, 4))), 1)).alias("first"))
+    tokens = F.transform(F.sequence(F.lit(0), (F.size(v) / 4).cast("int") - 1), lambda i: F.slice(v, i * 4 + 1, F.lit(4)))
+    pooled = table(spark, sf, "embeddings").select("vec_id", F.posexplode(S.mean_pool(tokens)).alias("dim", "mean"))
+    return pooled.select("vec_id", "dim", R6("mean").alias("mean"))
 
 
-@query("softmax_rows", """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE))) AS v FROM embeddings)
-SELECT vec_id, round(v[1] / list_sum(v), 6) AS p FROM e""")
+@query("softmax_rows", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS v FROM embeddings),
+p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM e)
+SELECT vec_id, round(p[1], 6) AS p, round({WEIGHTED.format(v='p')}, 4) AS weighted FROM p""")
 def softmax_rows(spark, sf):
-    p = S.softmax(S.doubles(F.slice("embedding", 1, 8)))
-    return table(spark, sf, "embeddings").select("vec_id", R6(F.element_at(p, 1)).alias("p"))
+    p = table(spark, sf, "embeddings").select("vec_id", S.softmax(S.doubles(F.col("embedding"))).alias("p"))
+    return p.select("vec_id", R6(F.element_at("p", 1)).alias("p"), F.round(weighted("p"), 4).alias("weighted"))
+
+
+@query("as_probabilities", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+q AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN list_transform(v, lambda x: (x * x) / list_sum(list_transform(v, lambda z: z * z))) ELSE list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda z: exp(z)))) END AS p FROM e)
+SELECT vec_id, round({WEIGHTED.format(v='p')}, 3) AS weighted FROM q""")
+def as_probabilities(spark, sf):
+    """Squares over their sum are probabilities already; the vectors themselves are not."""
+    v = S.doubles(F.col("embedding"))
+    x = F.when(F.col("vec_id") % 2 == 0, F.transform(v, lambda a: a * a / S.dot(v, v))).otherwise(v)
+    p = table(spark, sf, "embeddings").select("vec_id", x.alias("x")).select("vec_id", S.as_probabilities(F.col("x")).alias("p"))
+    return p.select("vec_id", F.round(weighted("p"), 3).alias("weighted"))
 
 
 @query("variance_hinge", """WITH x AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),

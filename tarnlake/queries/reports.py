@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
 from tarnlake.operators import knn, lake, metrics, reports, segmentation
+from tarnlake.operators.ranks import numbered, running
 from tarnlake.queries import embeddings as E
 from tarnlake.session import materialize, table
-from tarnlake.streaming.jobs import batch_stream_table
+from tarnlake.streaming.jobs import batch_stream_table, write_stream_manifest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,12 +77,25 @@ def suspect_flags(spark, sf):
     return a.select("task", "init", S.suspicion(F.col("task"), F.col("accuracy"), F.col("balanced_acc")).alias("flag"))
 
 
+@query("report_order", ROWS + " SELECT task, init, n, CAST(row_number() OVER (ORDER BY task NULLS LAST, init NULLS LAST, n) AS INTEGER) AS pos FROM r")
+def report_order(spark, sf):
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("init")).agg(F.count("*").alias("n"))
+    return reports.ordered(rows)
+
+
 @query("report_cells", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '–' ELSE printf('%.4f', o_totalprice / 7) END AS cell, CASE WHEN o_orderkey % 2 = 0 THEN 'a__b' ELSE 'a' END AS tag FROM orders")
 def report_cells(spark, sf):
     x = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 7)
     return table(spark, sf, "orders").select("o_orderkey", S.cell(x).alias("cell"), S.run_tag(F.lit("a"), F.when(F.col("o_orderkey") % 2 == 0, "b").otherwise("")).alias("tag"))
 
 
+@query("readable_bytes", """SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) WHEN b < 1099511627776 THEN printf('%.1f GB', b / 1073741824) ELSE printf('%.1f TB', b / 1099511627776) END AS shown
+FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * (o_orderkey % 1000) AS b FROM orders)""")
+def readable_bytes(spark, sf):
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, sf, "orders").select("o_orderkey", S.readable_bytes(k * k * (k % 1000)).alias("shown"))
+
+
 @query("class_balance", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), p AS (SELECT n, n / (sum(n) OVER ()) AS p FROM n)
 SELECT count(*) AS classes, round(max(p), 6) AS majority, round(min(p), 6) AS minority, round(max(n) / greatest(1, min(n)), 6) AS imbalance, round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 1 END, 6) AS norm_entropy, round(exp(sum(-p * ln(p))), 6) AS effective, round(1 / count(*), 6) AS chance FROM p""")
 def class_balance(spark, sf):
@@ -193,8 +203,9 @@ def batch_plan(spark, sf):
 
 @query("epoch_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:1:' || event_type || ':' || event_id), event_id) AS pos, md5('7:1:' || event_type) AS archive_key FROM events")
 def epoch_order(spark, sf):
-    w = Window.partitionBy("event_type").orderBy(S.seeded_order("7:1", F.col("event_type"), F.col("event_id")), "event_id")
-    return table(spark, sf, "events").select("event_id", F.row_number().over(w).cast("long").alias("pos"), S.seeded_order("7:1", F.col("event_type")).alias("archive_key"))
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    placed = numbered(e, ["event_type"], [S.seeded_order("7:1", F.col("event_type"), F.col("event_id")), "event_id"], "pos")
+    return placed.select("event_id", "pos", S.seeded_order("7:1", F.col("event_type")).alias("archive_key"))
 
 
 @query("lead_pairs", "WITH a AS (SELECT event_type, md5('7:1:' || event_type) AS k FROM events GROUP BY event_type) SELECT event_type, coalesce(lead(event_type) OVER (ORDER BY k), '') AS next FROM a")
@@ -213,21 +224,14 @@ def rate_per_window(spark, sf):
 
 @query("coverage_running_sum", "WITH d AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, CAST(sum(n) OVER (ORDER BY user_id) AS BIGINT) AS covered FROM d")
 def coverage_running_sum(spark, sf):
-    """A running total in two steps: sums of ranges of ids, then a running sum inside each range."""
-    d = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("user_id") / 64))
-    base = d.groupBy("part").agg(F.sum("n").alias("s"))
-    base = base.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.sum("n").over(Window.partitionBy("part").orderBy("user_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return d.join(base, "part").select("user_id", (F.col("base") + own).alias("covered"))
+    d = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return running(d, [], ["user_id"], "n", "covered").select("user_id", "covered")
 
 
 @query("stream_resume", "SELECT epoch, event_type, count(*) AS n, count(DISTINCT event_id) AS items FROM events CROSS JOIN (VALUES (0), (1)) e(epoch) GROUP BY epoch, event_type")
 def stream_resume(spark, sf):
     """Two epochs over all events in batches of 2048, stopped after two triggers and resumed from the checkpoint."""
-    items = table(spark, sf, "events").groupBy("event_type").agg(F.sort_array(F.collect_list("event_id")).alias("m")).collect()  # the manifest of a stream is on the driver
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "manifest.json")
-        with open(path, "w") as f:
-            json.dump({"archives": [{"id": r["event_type"], "members": [str(m) for m in r["m"]]} for r in items]}, f)
-        rows = batch_stream_table(spark, {"manifest": path, "batchSize": 2048, "epochs": 2, "seed": 7, "batchesPerTrigger": 2}, stops=(2,))
+    manifest = write_stream_manifest(table(spark, sf, "events"), "event_type", "event_id")
+    options = {"manifest": manifest, "batchSize": 2048, "epochs": 2, "seed": 7, "batchesPerTrigger": 2}
+    rows = batch_stream_table(spark, options, stops=(2,))
     return rows.groupBy("epoch", F.col("archive").alias("event_type")).agg(F.count("*").alias("n"), F.count_distinct("member").alias("items"))

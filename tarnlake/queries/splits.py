@@ -155,12 +155,15 @@ def fuzzy_first_match(spark, sf):
 BOXES = """WITH b AS (SELECT l_orderkey, l_quantity AS q, l_linenumber AS n, l_suppkey % 100 AS x0, l_partkey % 80 AS y0 FROM lineitem)"""
 
 
-@query("xml_boxes", BOXES + " SELECT l_orderkey, count(*) AS boxes, CAST(sum(x0 + q) AS BIGINT) AS right_edges FROM b WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey")
+@query("xml_boxes", BOXES + " SELECT l_orderkey, count(*) AS boxes, CAST(sum(x0 + q) AS BIGINT) AS right_edges FROM b GROUP BY l_orderkey")
 def xml_boxes(spark, sf):
     """Annotations written as XML and parsed back."""
-    b = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
-    box = F.format_string("<object><name>lesion</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", F.col("l_suppkey") % 100, F.col("l_partkey") % 80, (F.col("l_suppkey") % 100 + F.col("l_quantity")).cast("long"), (F.col("l_partkey") % 80 + F.col("l_quantity")).cast("long"))
-    xml = b.groupBy("l_orderkey").agg(F.concat(F.lit("<annotation><size><width>640</width><height>480</height></size>"), F.array_join(F.collect_list(box), ""), F.lit("</annotation>")).alias("xml"))
+    b = table(spark, sf, "lineitem")
+    x, y, q = F.col("l_suppkey") % 100, F.col("l_partkey") % 80, F.col("l_quantity")
+    shape = "<object><name>lesion</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>"
+    box = F.format_string(shape, x, y, (x + q).cast("long"), (y + q).cast("long"))
+    head = F.lit("<annotation><size><width>640</width><height>480</height></size>")
+    xml = b.groupBy("l_orderkey").agg(F.concat(head, F.array_join(F.collect_list(box), ""), F.lit("</annotation>")).alias("xml"))
     out = xml.select("l_orderkey", voc_boxes(F.col("xml")).alias("boxes"))
     return out.select("l_orderkey", F.size("boxes").cast("long").alias("boxes"), F.aggregate(F.transform("boxes", lambda x: x.x1.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("right_edges"))
 
@@ -217,3 +220,8 @@ def pair_join(spark, sf):
 def class_drop_counts(spark, sf):
     s = splits.stratified_split(vectors(spark, sf), "y", "id")
     return s.where("split <> 'reference'").join(s.where("id % 4 = 0").select("id"), "id", "left_anti").groupBy("y").agg(F.count("*").alias("dropped"))
+
+
+@query("archive_sample", "WITH s AS (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5('11:' || source), source LIMIT 6) SELECT doc_id, source FROM documents JOIN s USING (source)")
+def archive_sample(spark, sf):
+    return splits.whole_archives(table(spark, sf, "documents"), "source", 6, 11).select("doc_id", "source")

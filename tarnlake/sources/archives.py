@@ -7,7 +7,6 @@ it is at hand.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import os
 import tarfile
@@ -77,21 +76,24 @@ class TarCommit(WriterCommitMessage):
 
 
 class TarWriter(DataSourceWriter):
-    """Each task writes tars of at most ``pack`` members of (member, payload) rows; empty ones are never left."""
+    """Tars of rows (member, payload), of at most ``pack`` members each and named by task; or of rows (tar, member,
+    payload), which must come sorted by tar: then each goes to the tar of its name. Empty tars are never left."""
 
-    def __init__(self, path: str, pack: int):
-        self.path, self.pack = path.removeprefix("file://"), pack
+    def __init__(self, path: str, pack: int, named: bool):
+        self.path, self.pack, self.named = path.removeprefix("file://"), pack, named
 
     def write(self, rows) -> TarCommit:
         from pyspark import TaskContext
 
-        part, n, tar, files = TaskContext.get().partitionId(), 0, None, []
+        part, n, tar, name, files = TaskContext.get().partitionId(), 0, None, None, []
         os.makedirs(self.path, exist_ok=True)
         for r in rows:
-            if n % self.pack == 0:
+            own = r["tar"] if self.named else f"part-{part:05d}-{n // self.pack:05d}"
+            if own != name:
                 if tar:
                     tar.close()
-                files.append(os.path.join(self.path, f"part-{part:05d}-{n // self.pack:05d}.tar"))
+                name = own
+                files.append(os.path.join(self.path, f"{name}.tar"))
                 tar = tarfile.open(files[-1] + ".part", "w")
             info = tarfile.TarInfo(r["member"])
             info.size = len(r["payload"])
@@ -125,7 +127,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> TarWriter:
-        return TarWriter(self.options["path"], int(self.options.get("pack", 1000)))
+        return TarWriter(self.options["path"], int(self.options.get("pack", 1000)), "tar" in schema.fieldNames())
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -134,27 +136,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tars(rows: DataFrame, path: str, pack: int) -> None:
+    """Tars of (member, payload) rows, at most ``pack`` members each, cut in every task."""
+    _write(rows.select("member", "payload"), path, pack)
+
+
+def write_named_tars(rows: DataFrame, path: str) -> None:
+    """(tar, member, payload) rows to the tars that they name, members in order."""
+    _write(rows.select("tar", "member", "payload").repartition("tar").sortWithinPartitions("tar", "member"), path)
+
+
+def _write(rows: DataFrame, path: str, pack: int = 1000) -> None:
     rows.sparkSession.dataSource.register(ArchiveSource)
-    rows.select("member", "payload").write.format("archive").option("path", path).option("pack", pack).mode("append").save()
+    rows.write.format("archive").option("path", path).option("pack", pack).mode("append").save()
 
 
-CATALOG = "shard string, member string, bytes long, sha256 string, ext string, width int, height int, mode string, phash string, corrupt boolean, status string"
+CATALOG = ("shard", "member", "bytes", "sha256", "ext", "width", "height", "mode", "phash", "corrupt", "status")
 
 
 def catalog(rows: DataFrame) -> DataFrame:
-    """One manifest row a member: digest, true size, mode, perceptual hash, decode status."""
+    """One manifest row a member: digest, true size, mode, perceptual hash, decode status.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = {c: [] for c in ("shard", "member", "bytes", "sha256", "ext", "width", "height", "mode", "phash", "corrupt", "status")}
-            for shard, member, size, payload in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                d = image.decode(payload or b"")
-                row = (shard, member, size, hashlib.sha256(payload or b"").hexdigest(), os.path.splitext(member)[1].lower(), d.width, d.height, d.mode, image.phash(d.pixels) if d.pixels is not None else "", d.pixels is None, d.status)
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"bytes": pa.int64(), "width": pa.int32(), "height": pa.int32(), "corrupt": pa.bool_()}.get(k, pa.string())) for k, v in out.items()})
-
-    return rows.select("archive", "member", "bytes", "payload").mapInArrow(run, CATALOG)
+    ``corrupt`` is true for pictures that can't be read or lack a part, and null for those of a format that isn't decoded.
+    """
+    named = rows.select(F.col("archive").alias("shard"), "member", "bytes", F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("sha256"), "payload")
+    found = image.with_facts(named)
+    ext = F.lower(F.regexp_extract("member", r"[^/](\.[^./]*)$", 1))
+    corrupt = F.when(F.col("status") != "unsupported", F.col("status") != "ok")
+    return found.withColumn("ext", ext).withColumn("corrupt", corrupt).select(*CATALOG)
 
 
 def with_group(rows: DataFrame) -> DataFrame:

@@ -12,25 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarnlake.session import shared_dir
+from tarnlake.session import file_system, new_path, shared_dir
 
 MANIFEST = "shard string, member string, bytes bigint, sha256 string, ext string, width int, height int, mode string, phash string, corrupt boolean, shard_group string"
-CURATED = "wds_shard string, key string, src_shard string, src_member string, bytes bigint, width int, height int, phash string, dup_of string, shard_group string"
 INGEST_LOG = "name string, id bigint, key string, bytes bigint, sha256 string, ts double"
 
 
 def write_manifest(rows: DataFrame, path: str | None = None, codec: str = "snappy") -> str:
     """One folder a shard group; a group written again replaces only its own folder."""
-    path = path or f"{shared_dir(rows.sparkSession).rstrip('/')}/tarnlake/manifest-{uuid.uuid4().hex}"
-    rows.repartition("shard_group").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy("shard_group").parquet(path)
+    path = path or new_path(rows.sparkSession, "manifest")
+    writer = rows.repartition("shard_group").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", codec).partitionBy("shard_group").parquet(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
 def read_parts(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """All parts under a path; an empty or missing one is an empty table of the schema."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -57,12 +61,14 @@ def fingerprint(rows: DataFrame, *columns: str) -> str:
 
 
 def cached(spark: SparkSession, build: Callable[[], DataFrame], **key) -> DataFrame:
-    """The table for a key (every parameter is part of it): read if it was written to the end, else built and written."""
+    """The table for a key (every parameter is part of it): read if it was written to the end, else built and written.
+
+    Unlike other written tables it stays, for later sessions; ``remove`` its folder to forget it.
+    """
     digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{shared_dir(spark).rstrip('/')}/tarnlake/features/cache_key={digest}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    fs, done = file_system(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -114,8 +120,11 @@ def write_json_atomically(path: str, value: dict) -> None:
 
 
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A report of at most ``most`` rows as a Markdown table."""
+    """A report as a Markdown table; one of over ``most`` rows is no report, and an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of over {most} rows; write it as a table")
     head = rows.columns
     shown = lambda v: "–" if v is None or v != v else ("T" if v is True else "F" if v is False else f"{v:.4f}" if isinstance(v, float) else str(v))
     lines = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "-|" * len(head)]
-    return "\n".join(lines + ["| " + " | ".join(shown(v) for v in r) + " |" for r in rows.limit(most).collect()])
+    return "\n".join(lines + ["| " + " | ".join(shown(v) for v in r) + " |" for r in found])

@@ -6,13 +6,23 @@ fails at once. Signed addresses and credentials never appear in messages.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
 import re
 import time
 import urllib.error
 import urllib.request
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnlake.operators.lake import to_copy
+from tarnlake.session import file_system
+from tarnlake.sources.lake import INGEST_LOG, append_log
 
 
 class PortalError(RuntimeError):
@@ -68,6 +78,39 @@ class PortalClient:
     def _short(self, file_id: str) -> bytes:
         raise PortalError(f"file {file_id}: the download doesn't go on")
 
+    def download_to(self, file_id: str, path: str, size: int, chunk: int = 8 << 20) -> str:
+        """The whole file at ``path``, in ranges of ``chunk`` bytes; returns its sha256.
+
+        What is there of ``path``.part from an earlier try is gone on with. A reply that ignores the range starts anew;
+        a range that isn't the one asked for, or a file of another size, is an error.
+        """
+        part = path + ".part"
+        with open(part, "ab") as f:
+            if f.tell() > size:
+                f.truncate(0)
+                f.seek(0)
+            while (at := f.tell()) < size:
+                status, headers, body = self.get(file_id, at, min(size, at + chunk))
+                if status == 206:
+                    m = re.match(r"bytes (\d+)-(\d+)/(\d+|\*)", headers.get("content-range", ""))
+                    if m and int(m[1]) != at:
+                        raise PortalError(f"file {file_id}: the reply is of another range")
+                else:
+                    f.truncate(0)
+                    f.seek(0)
+                    at = 0
+                if at + len(body) > size or not body or status == 416:
+                    raise PortalError(f"file {file_id}: the download isn't of the declared size")
+                f.write(body)
+            f.flush()
+            os.fsync(f.fileno())
+        digest = hashlib.sha256()
+        with open(part, "rb") as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
+        os.replace(part, path)
+        return digest.hexdigest()
+
     def zip_names(self, file_id: str, size: int) -> list[str]:
         """Members of a remote zip by its central directory, without its data."""
         return zipfile.ZipFile(RangeFile(self, file_id, size)).namelist()
@@ -120,3 +163,32 @@ def resolve_source(configured: str, override: str | None = None, environment: st
     if name not in SOURCES:
         raise ValueError(f"unknown source {name!r}; one of {', '.join(SOURCES)}")
     return name
+
+
+def ingest(spec: DataFrame, listing: DataFrame, folder: str, log: str, client: Callable[[], PortalClient]) -> DataFrame:
+    """Fetch the files of ``spec`` (id, name, size) that ``listing`` (name, size) doesn't have whole into ``folder``, one
+    task a file, and append a row a file to the JSON log; returns the log.
+
+    ``folder`` must be one that workers can write to. A task that is lost is run again and goes on with what is there.
+    """
+    spark = spec.sparkSession
+    work = to_copy(spec, listing).select("name", F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        portal = client()
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for r in b.to_pylist():
+                digest = portal.download_to(str(r["id"]), os.path.join(folder, r["name"]), r["size"])
+                row = {"name": r["name"], "id": r["id"], "key": r["name"], "bytes": r["size"], "sha256": digest, "ts": time.time()}
+                yield pa.RecordBatch.from_pylist([row])
+
+    files = work.count()
+    if files:
+        append_log(work.repartition(min(files, 1000), "name").mapInArrow(run, INGEST_LOG), log)
+    return _read_log(spark, log)
+
+
+def _read_log(spark, log: str) -> DataFrame:
+    fs, p = file_system(spark, log)
+    return spark.read.schema(INGEST_LOG).json(log) if fs.exists(p) else spark.createDataFrame([], INGEST_LOG)

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import os
+import threading
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.session import shared_dir
+from tarnlake.session import file_system, new_path
 from tarnlake.streaming.source import ArchiveBatches
 
 RESUBMIT = 75
 
 
-def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches: int | None = None, timeout: float = 300) -> None:
-    """Consume the stream into ``out`` until it ends, or until ``batches`` triggers are committed.
+def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches: int | None = None, timeout: float = 300) -> list[dict]:
+    """Consume the stream into ``out`` until it ends, or until ``batches`` triggers are committed; returns each trigger's rows and seconds.
 
-    The sink writes each trigger to a folder of its number, so that a replay overwrites itself.
+    The sink writes each trigger to a folder of its number, so that a replay overwrites itself. A stream that hasn't
+    ended in time is an error: what is there then isn't the whole table.
     """
     spark.dataSource.register(ArchiveBatches)
     reader = spark.readStream.format("archive_batches")
@@ -32,30 +34,69 @@ def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches
         done[0] += 1
 
     q = reader.load().writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    ended, error = threading.Event(), []
+
+    def wait() -> None:
+        try:
+            q.processAllAvailable()
+        except Exception as e:  # noqa: BLE001  raised below, on the caller's thread
+            error.append(e)
+        ended.set()
+
+    threading.Thread(target=wait, daemon=True).start()
+    end = time.time() + timeout
     try:
-        end, idle = time.time() + timeout, 0
-        while time.time() < end:
-            if q.exception() is not None:
-                raise RuntimeError(str(q.exception()))
-            if batches is not None and done[0] >= batches:
-                break
-            p = q.lastProgress
-            idle = idle + 1 if p is not None and p.numInputRows == 0 and not q.status["isTriggerActive"] else 0
-            if idle > 20:
-                break
-            time.sleep(0.05)
+        while not ended.wait(0.02) and not (batches is not None and done[0] >= batches):
+            if time.time() > end:
+                raise TimeoutError(f"the stream hasn't ended in {timeout:g} s")
+        if error and not (batches is not None and done[0] >= batches):
+            raise RuntimeError(str(error[0])) from error[0]
+        return [_progress(p) for p in q.recentProgress if p["numInputRows"]]
     finally:
         q.stop()
 
 
+def _progress(p: dict) -> dict:
+    """A trigger's number, rows, seconds of work on them and seconds until there were any."""
+    took = p["durationMs"]
+    work = took.get("addBatch", 0) / 1000
+    return {"trigger": p["batchId"], "rows": p["numInputRows"], "work_s": work, "wait_s": took.get("triggerExecution", 0) / 1000 - work}
+
+
+def telemetry(rows: DataFrame) -> DataFrame:
+    """(epoch, attempts, failures, bytes): what a stream's rows say of its reading; placeholders are failures."""
+    failed = F.count_if(~F.col("status").isin("ok", "listed"))
+    size = F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long")
+    return rows.groupBy("epoch").agg(F.count("*").alias("attempts"), failed.alias("failures"), size.alias("bytes"))
+
+
 def batch_stream_table(spark: SparkSession, options: dict, stops: tuple[int, ...] = ()) -> DataFrame:
     """The whole stream's rows; ``stops``: the query is stopped after so many triggers and started again."""
-    base = f"{shared_dir(spark).rstrip('/').removeprefix('file://')}/tarnlake/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream").removeprefix("file://")
     for n in (*stops, None):
         drain(spark, options, f"{base}/out", f"{base}/checkpoint", n)
     return spark.read.parquet(f"{base}/out")
 
 
+def write_stream_manifest(rows: DataFrame, archive: str, member: str) -> str:
+    """A manifest of rows' archives and members in the shared folder: members as tables, one folder an archive, and a
+    small list of archives with their counts, which is all that the driver reads. Returns the list's path."""
+    spark = rows.sparkSession
+    base = new_path(spark, "stream-manifest")
+    named = rows.select(F.col(archive).cast("string").alias("archive"), F.col(member).cast("string").alias("member"))
+    numbered = named.select("archive").distinct().select("archive", F.md5("archive").alias("part"))
+    named.withColumn("part", F.md5("archive")).write.partitionBy("part").parquet(f"{base}/members")
+    counts = named.groupBy("archive").agg(F.count("*").alias("n")).join(numbered, "archive").orderBy("archive").collect()  # one row an archive
+    found = [{"id": r["archive"], "count": r["n"], "members_at": f"{base}/members/part={r['part']}"} for r in counts]
+    fs, p = file_system(spark, f"{base}/manifest.json")
+    stream = fs.create(p, True)
+    try:
+        stream.write(json.dumps({"archives": found}).encode())
+    finally:
+        stream.close()
+    return f"{base}/manifest.json".removeprefix("file://").removeprefix("file:")
+
+
 def ingest_new(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
     """Read files that no earlier call has read; good rows are appended, items with failures go to the failed log only,
     so that a later call can take them up. Returns the items done so far."""

@@ -5,6 +5,10 @@ are full, but a tail of one item joins the batch before it. The offset is the nu
 first epoch's start, with the manifest's fingerprint: a checkpoint of another manifest is refused. What a batch holds depends on
 nothing but manifest, seed and number, so a restart replays only what the sink hadn't committed.
 
+The manifest lists archives. An archive has its ``members``, or their ``count`` only and a Parquet folder with them
+(``members_at``, column member) that workers can open: then the driver plans batches by the counts alone, and workers
+read and order the members of the archives that their batch touches.
+
 An item that can't be read becomes a placeholder with status ``unreadable``, so that no batch shrinks; one that isn't
 an image by its first bytes keeps its bytes and has status ``undecodable``.
 """
@@ -14,10 +18,15 @@ from __future__ import annotations
 import hashlib
 import json
 import zipfile
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tarnlake.operators.lake import batch_count
+
 SCHEMA = "epoch int, batch long, pos int, archive string, member string, payload binary, status string"
 MAGIC = (b"\x89PNG", b"\xff\xd8\xff", b"BM", b"RIFF")
 
@@ -30,52 +39,92 @@ def _key(*parts) -> str:
     return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
 
 
+def epoch_archives(archives: list[dict], seed: int, epoch: int) -> list[dict]:
+    """The archives in the epoch's order."""
+    return sorted(archives, key=lambda a: (_key(seed, epoch, a["id"]), str(a["id"])))
+
+
+def epoch_members(archive: dict, seed: int, epoch: int) -> list[str]:
+    """An archive's members in the epoch's order."""
+    found = archive["members"] if "members" in archive else _listed(archive["members_at"])
+    return sorted(found, key=lambda m: (_key(seed, epoch, archive["id"], m), m))
+
+
 def epoch_items(archives: list[dict], seed: int, epoch: int) -> list[tuple[str, str]]:
     """(archive, member) of all items in the epoch's order."""
-    out = []
-    for a in sorted(archives, key=lambda a: (_key(seed, epoch, a["id"]), str(a["id"]))):
-        out += [(str(a["id"]), m) for m in sorted(a["members"], key=lambda m: (_key(seed, epoch, a["id"], m), m))]
-    return out
+    return [(str(a["id"]), m) for a in epoch_archives(archives, seed, epoch) for m in epoch_members(a, seed, epoch)]
 
 
-def cuts(n: int, size: int) -> list[tuple[int, int]]:
-    from tarnlake.operators.lake import batch_sizes
+@lru_cache(16)
+def _listed(folder: str) -> tuple[str, ...]:
+    import pyarrow.parquet as pq
+
+    return tuple(map(str, pq.read_table(folder.removeprefix("file://").removeprefix("file:"), columns=["member"]).column(0).to_pylist()))
+
+
+@lru_cache(16)
+def _ordered(archive: str, seed: int, epoch: int) -> list[str]:
+    """Kept for the batches of one archive that a worker reads one after the other."""
+    return epoch_members(json.loads(archive), seed, epoch)
 
-    out, at = [], 0
-    for k in batch_sizes(n, size):
-        out.append((at, at + k))
-        at += k
-    return out
+
+def size_of(archive: dict) -> int:
+    return len(archive["members"]) if "members" in archive else int(archive["count"])
+
+
+def cut_of(k: int, n: int, size: int) -> tuple[int, int]:
+    """Where batch k of n items begins and ends."""
+    return k * size, n if k == batch_count(n, size) - 1 else (k + 1) * size
+
+
+def cuts(n: int, size: int) -> list[tuple[int, int]]:
+    return [cut_of(k, n, size) for k in range(batch_count(n, size))]
 
 
 class Batch(InputPartition):
-    def __init__(self, epoch: int, batch: int, items: list[tuple[str, str]]):
-        self.epoch, self.batch, self.items = epoch, batch, items
+    """Ranges (archive, begin, end) of archives' ordered members."""
+
+    def __init__(self, epoch: int, batch: int, ranges: list[tuple[dict, int, int]]):
+        self.epoch, self.batch, self.ranges = epoch, batch, ranges
 
 
 class BatchReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        with open(options["manifest"]) as f:
+        with open(options["manifest"]) as f:  # on the driver; one entry an archive
             found = json.load(f)
         self.archives, self.print = found["archives"], fingerprint(found["archives"])
         if found.get("fingerprint", self.print) != self.print:
             raise ValueError("the manifest doesn't have the fingerprint that it states")
         self.seed, self.size, self.epochs = int(options.get("seed", 0)), int(options["batchSize"]), int(options.get("epochs", 1))
         self.per_trigger, self.folder = int(options.get("batchesPerTrigger", 1)), options.get("folder", "")
-        self.cuts = cuts(sum(len(a["members"]) for a in self.archives), self.size)
-        self.order: dict[int, list] = {}
+        self.items = sum(map(size_of, self.archives))
+        self.batches = batch_count(self.items, self.size)
+        self.order: dict[int, tuple[list[dict], list[int]]] = {}
         self.at = 0
 
     def _offset(self, n: int) -> dict:
-        return {"done": n, "epoch": n // len(self.cuts), "batch": n % len(self.cuts), "fingerprint": self.print}
+        return {"done": n, "epoch": n // self.batches, "batch": n % self.batches, "fingerprint": self.print}
 
     def initialOffset(self) -> dict:
         return self._offset(0)
 
     def latestOffset(self) -> dict:
-        self.at = min(self.at + self.per_trigger, self.epochs * len(self.cuts))
+        self.at = min(self.at + self.per_trigger, self.epochs * self.batches)
         return self._offset(self.at)
 
+    def _ranges(self, epoch: int, begin: int, end: int) -> list[tuple[dict, int, int]]:
+        if epoch not in self.order:
+            archives = epoch_archives(self.archives, self.seed, epoch)
+            self.order = {epoch: (archives, [0, *accumulate(map(size_of, archives))])}
+        archives, edges = self.order[epoch]
+        out, k = [], bisect_right(edges, begin) - 1
+        while k < len(archives) and edges[k] < end:
+            a, b = max(begin, edges[k]) - edges[k], min(end, edges[k + 1]) - edges[k]
+            if b > a:
+                out.append((archives[k], a, b))
+            k += 1
+        return out
+
     def partitions(self, start: dict, end: dict) -> list[Batch]:
         for o in (start, end):
             if o["fingerprint"] != self.print:
@@ -83,28 +132,29 @@ class BatchReader(DataSourceStreamReader):
         self.at = max(self.at, end["done"])
         out = []
         for n in range(start["done"], end["done"]):
-            epoch, k = divmod(n, len(self.cuts))
-            if epoch not in self.order:
-                self.order = {epoch: epoch_items(self.archives, self.seed, epoch)}
-            a, b = self.cuts[k]
-            out.append(Batch(epoch, k, self.order[epoch][a:b]))
+            epoch, k = divmod(n, self.batches)
+            out.append(Batch(epoch, k, self._ranges(epoch, *cut_of(k, self.items, self.size))))
         return out
 
     def read(self, partition: Batch) -> Iterator[tuple]:
-        opened: dict[str, zipfile.ZipFile | None] = {}  # one handle an archive and batch
-        for pos, (archive, member) in enumerate(partition.items):
-            payload, status = None, "listed"
-            if self.folder:
-                try:
-                    if archive not in opened:
-                        opened[archive] = zipfile.ZipFile(f"{self.folder}/{archive}.zip")
-                    payload = opened[archive].read(member)
-                    status = "ok" if payload.startswith(MAGIC) else "undecodable"
-                except (KeyError, OSError, zipfile.BadZipFile, zipfile.zlib.error):
-                    payload, status = b"", "unreadable"
-            yield partition.epoch, partition.batch, pos, archive, member, payload, status
-        for z in opened.values():
-            z.close()
+        pos = 0
+        for a, begin, end in partition.ranges:
+            archive = str(a["id"])
+            opened = None  # one handle an archive and batch
+            for member in _ordered(json.dumps(a, sort_keys=True), self.seed, partition.epoch)[begin:end]:
+                payload, status = None, "listed"
+                if self.folder:
+                    try:
+                        if opened is None:
+                            opened = zipfile.ZipFile(f"{self.folder}/{archive}.zip")
+                        payload = opened.read(member)
+                        status = "ok" if payload.startswith(MAGIC) else "undecodable"
+                    except (KeyError, OSError, zipfile.BadZipFile, zipfile.zlib.error):
+                        payload, status = b"", "unreadable"
+                yield partition.epoch, partition.batch, pos, archive, member, payload, status
+                pos += 1
+            if opened is not None:
+                opened.close()
 
     def commit(self, end: dict) -> None:
         """Consumed batches need no clean-up: the checkpoint holds the cursor."""

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.sources import archives, image, lake
-from tarnlake.sources.portal import PortalClient, PortalError, resolve_source
-from tarnlake.streaming.jobs import RESUBMIT, drain, ingest_new, run_phases
-from tarnlake.streaming.source import cuts, epoch_items
+from tarnlake.sources.curate import curate
+from tarnlake.sources.portal import PortalClient, PortalError, ingest, resolve_source
+from tarnlake.streaming.jobs import RESUBMIT, drain, ingest_new, run_phases, telemetry, write_stream_manifest
+from tarnlake.streaming.source import BatchReader, cuts, epoch_items
 
 
 def picture(seed, h=24, w=36):
@@ -49,6 +51,90 @@ def test_tars_round_trip_without_empty_shards(spark, folder, tmp_path):
     assert pairs(back) == pairs(rows)
 
 
+def jvm_picture(spark, pixels, kind):
+    """A file as Java's image writers make it."""
+    jvm = spark.sparkContext._jvm
+    h, w = pixels.shape[:2]
+    im = jvm.java.awt.image.BufferedImage(w, h, 1 if pixels.shape[2] == 3 else 10)
+    for y in range(h):
+        for x in range(w):
+            p = [int(v) for v in pixels[y, x]]
+            im.setRGB(x, y, p[0] << 16 | p[1 % len(p)] << 8 | p[2 % len(p)])
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(im, kind, out)
+    return bytes(out.toByteArray())
+
+
+def smooth(h=37, w=51):
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([4 * x % 256, 5 * y % 200 + 20, (x + y) * 2 % 256], 2).astype(np.uint8) // 2 + 60
+
+
+@pytest.mark.parametrize("kind", ["jpg", "bmp", "png"])
+def test_pictures_of_other_writers(spark, kind):
+    p = smooth()
+    data = jvm_picture(spark, p, kind)
+    d = image.decode(data)
+    assert (d.status, d.width, d.height, d.mode) == ("ok", 51, 37, "RGB")
+    error = np.abs(d.pixels.astype(int) - p)
+    assert error.max() == 0 if kind != "jpg" else error.mean() < 6
+    half = image.decode(data[: len(data) // 2])
+    assert half.status in ("truncated", "unreadable") and image.decode(data[:3]).status == "unreadable"
+    jvm = spark.sparkContext._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))  # what Java reads is what we read
+    java = np.array([[(v >> 16 & 255, v >> 8 & 255, v & 255) for v in (read.getRGB(x, y) for x in range(51))] for y in range(37)])
+    assert np.abs(d.pixels.astype(int) - java).mean() < 2.5
+
+
+def test_formats_that_are_not_decoded():
+    for data in (b"GIF89a" + bytes(20), b"RIFF\0\0\0\0WEBPVP8 ", b"\xff\xd8\xff\xc2\0\x11\x08\0\x10\0\x10\x03\x01\x22\0\x02\x11\x01\x03\x11\x01"):
+        assert image.decode(data).status == "unsupported"
+
+
+def mixed(spark, folder):
+    """An archive of JPEG, BMP and PNG, a copy, a broken file and one of another format."""
+    p = smooth(300, 260)
+    with zipfile.ZipFile(folder / "0007.zip", "w") as z:
+        z.writestr("a.jpg", jvm_picture(spark, smooth(40, 50), "jpg"))
+        z.writestr("b.bmp", jvm_picture(spark, picture(1), "bmp"))
+        z.writestr("c.png", image.encode(p))
+        z.writestr("d.png", image.encode(p))
+        z.writestr("e.jpg", b"\xff\xd8\xffnope")
+        z.writestr("f.jpeg", b"RIFF\0\0\0\0WEBPVP8 ")
+
+
+def test_catalog_of_mixed_formats(spark, tmp_path):
+    mixed(spark, tmp_path)
+    got = {r.member: r for r in archives.catalog(archives.read_archives(spark, str(tmp_path))).collect()}
+    assert {m: (r.status, r.corrupt) for m, r in got.items()} == {"a.jpg": ("ok", False), "b.bmp": ("ok", False), "c.png": ("ok", False), "d.png": ("ok", False), "e.jpg": ("unreadable", True), "f.jpeg": ("unsupported", None)}
+    assert (got["a.jpg"].width, got["a.jpg"].height, got["a.jpg"].ext) == (50, 40, ".jpg") and got["c.png"].phash == got["d.png"].phash
+    assert all(len(r.sha256) == 64 and (len(r.phash) == 16) == (r.status == "ok") for r in got.values())
+
+
+def test_curate_from_archives_to_shards(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    mixed(spark, tmp_path / "in")
+    got = {r.src_member: r for r in curate(spark, str(tmp_path / "in"), str(tmp_path / "out"), size=64, pack=2).collect()}
+    assert {m: (r.wds_shard, r.dup_of) for m, r in got.items()} == {
+        "a.jpg": ("wds-g000-00000", ""), "b.bmp": ("wds-g000-00000", ""), "c.png": ("wds-g000-00001", ""),
+        "d.png": ("", "0007.zip/c.png"), "e.jpg": ("", "CORRUPT"), "f.jpeg": ("", "UNSUPPORTED"),
+    }
+    assert (got["c.png"].width, got["c.png"].height, got["b.bmp"].width) == (64, 74, 36)
+    back = archives.read_archives(spark, str(tmp_path / "out" / "shards")).collect()
+    assert sorted((r.archive, r.member, r.bytes) for r in back) == [("wds-g000-00000.tar", "0007.zip__a.jpg.png", got["a.jpg"].bytes), ("wds-g000-00000.tar", "0007.zip__b.bmp.png", got["b.bmp"].bytes), ("wds-g000-00001.tar", "0007.zip__c.png.png", got["c.png"].bytes)]
+    again = curate(spark, str(tmp_path / "in"), str(tmp_path / "out"), size=64, pack=2)
+    assert again.count() == 6
+
+
+def test_picture_columns(spark):
+    rows = spark.createDataFrame([(1, image.encode(np.full((40, 30, 3), 250, np.uint8))), (2, b""), (3, None)], "id long, payload binary")
+    f = {r.id: r for r in image.with_facts(rows).collect()}
+    assert (f[1].mean, f[1].bright, f[1].dark) == (pytest.approx(250), 1.0, 0.0) and f[2].mean is None and f[3].status == "unreadable"
+    assert [(r.id, r.width, r.height) for r in image.with_resized(rows, 15).orderBy("id").collect()] == [(1, 15, 20), (2, 0, 0), (3, 0, 0)]
+    g = {r.id: r for r in image.with_mask_grid(rows).collect()}
+    assert g[1].grid == [1] * 196 and g[1].share == 1.0 and g[2].grid is None
+
+
 def test_index_goes_on(spark, folder, tmp_path):
     m = str(tmp_path / "manifest")
     first = archives.index_members(spark, str(folder), m, 3)
@@ -133,6 +219,41 @@ def test_retry_policy():
         assert "secret" not in str(e.value) and "sig" not in str(e.value)
 
 
+def ranged(data):
+    def fetch(url, headers):
+        a, _, b = headers["Range"].removeprefix("bytes=").partition("-")
+        a, b = int(a), int(b) + 1 if b else len(data)
+        return 206, {"Content-Range": f"bytes {a}-{min(b, len(data)) - 1}/{len(data)}"}, data[a:b]
+
+    return fetch
+
+
+def test_download_to_a_file_goes_on(tmp_path):
+    data, path = bytes(range(256)) * 40, str(tmp_path / "f.zip")
+    (tmp_path / "f.zip.part").write_bytes(data[:1000])
+    c, _, seen = client([(206, {"Content-Range": f"bytes {a}-{min(a + 4096, len(data)) - 1}/{len(data)}"}, data[a : a + 4096]) for a in range(1000, len(data), 4096)])
+    assert c.download_to("f", path, len(data), 4096) == hashlib.sha256(data).hexdigest()
+    assert open(path, "rb").read() == data and [h for _, h in seen][0] == "bytes=1000-5095" and not os.path.exists(path + ".part")
+    c, _, _ = client([(206, {"Content-Range": "bytes 7-16/20"}, b"0123456789")])
+    with pytest.raises(PortalError, match="another range"):
+        c.download_to("g", str(tmp_path / "g"), 20, 10)
+    c, _, _ = client([(200, {}, b"0123456789")])
+    with pytest.raises(PortalError, match="declared size"):
+        c.download_to("h", str(tmp_path / "h"), 5)
+
+
+def test_ingest_copies_what_is_missing_and_logs_it(spark, tmp_path):
+    folder, log = str(tmp_path / "zips"), str(tmp_path / "log")
+    spec = spark.createDataFrame([("a.zip", 1, 700), ("b.zip", 2, 900), ("c.zip", 3, 50)], "name string, id long, size long")
+    make = lambda: PortalClient(lambda i: i, fetch=lambda url, h: ranged(url.encode() * [0, 700, 900, 50][int(url)])(url, h))
+    have = spark.createDataFrame([("c.zip", 50), ("b.zip", 1)], "name string, size long")
+    got = {r.name: r for r in ingest(spec, have, folder, log, make).collect()}
+    assert sorted(got) == ["a.zip", "b.zip"] and got["a.zip"].sha256 == hashlib.sha256(b"1" * 700).hexdigest()
+    assert os.path.getsize(f"{folder}/b.zip") == 900
+    assert ingest(spec, spec.select("name", "size"), folder, log, make).count() == 2
+    assert ingest(spec, spec.select("name", "size"), folder, str(tmp_path / "none"), make).count() == 0
+
+
 def test_remote_zip_listing():
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
@@ -165,6 +286,8 @@ def test_small_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text(" id ,x\n a , b \n")
     assert lake.csv_table(spark, str(tmp_path / "c.csv")).first().asDict() == {"id": "a", "x": "b"}
     assert "| a |" in lake.markdown(spark.createDataFrame([("a", None)], "k string, v double"), "T")
+    with pytest.raises(ValueError, match="over 3 rows"):
+        lake.markdown(spark.range(4), "T", 3)
     assert lake.read_parts(spark, str(tmp_path / "none"), lake.MANIFEST).count() == 0
 
 
@@ -193,8 +316,32 @@ def test_stream_covers_every_item_once_an_epoch_and_resumes(spark, folder, tmp_p
 def test_bad_members_become_placeholders(spark, folder, tmp_path):
     o = manifest(tmp_path / "m.json", folder, ("gone.png", "notes.txt")) | {"epochs": 1}
     drain(spark, o, str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {r["status"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("status").count().collect()}
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    got = {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()}
     assert got == {"ok": 9, "unreadable": 3, "undecodable": 3}
+    t = telemetry(rows).first()
+    assert (t.attempts, t.failures) == (15, 6) and t.bytes > 9 * 60
+
+
+def test_a_stream_that_does_not_end_is_an_error(spark, folder, tmp_path):
+    o = manifest(tmp_path / "m.json", folder) | {"epochs": 1000}
+    with pytest.raises(TimeoutError):
+        drain(spark, o, str(tmp_path / "out"), str(tmp_path / "cp"), timeout=1.5)
+
+
+def test_members_of_a_manifest_in_tables(spark, tmp_path):
+    """The driver's manifest has counts only; the order is that of the members listed in it."""
+    rows = [(f"a{a}", f"m{m}") for a in range(3) for m in range(5 + a)]
+    path = write_stream_manifest(spark.createDataFrame(rows, "archive string, member string"), "archive", "member")
+    with open(path) as f:
+        found = json.load(f)["archives"]
+    assert [(a["id"], a["count"], "members" in a) for a in found] == [("a0", 5, False), ("a1", 6, False), ("a2", 7, False)]
+    progress = drain(spark, {"manifest": path, "batchSize": 4, "epochs": 2, "seed": 5}, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sum(p["rows"] for p in progress) == 36 and all(p["wait_s"] >= 0 for p in progress)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("epoch", "batch", "pos").collect()
+    listed = [{"id": f"a{a}", "members": [m for x, m in rows if x == f"a{a}"]} for a in range(3)]
+    assert [(r.archive, r.member) for r in got] == epoch_items(listed, 5, 0) + epoch_items(listed, 5, 1)
+    assert BatchReader({"manifest": path, "batchSize": 4}).batches == len(cuts(18, 4))
 
 
 def test_another_manifest_is_refused(spark, folder, tmp_path):
