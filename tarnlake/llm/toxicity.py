@@ -1,21 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary labelled texts, one on the same plus windows
-that are typical of toxic labelled texts. A window (a word between blanks, lower-cased, each byte written as
-three so that a short match still outweighs its frame) is compressed with either dictionary; how much shorter
-the toxic one makes it is the window's gain. A text's largest gain, and how often large gains occur, are
-calibrated to a score by logistic regression on the labelled training rows.
-
-The labels are a bounded sample (``MAX_FIT_ROWS`` rows by the order of a hash of the id, ``MAX_FIT_CHARS``
-characters of each); every text is scored whole. Without both labels in the sample every score is 0. A null text counts as
-empty and has gain 0. Repeated rows get the same score. A null id isn't held out. Labels, language, source and id are no inputs.
+Two zstandard dictionaries are trained separately: one on windows of ordinary labelled texts, one on windows of toxic
+ones. A window of text is compressed with either; its gain is how much shorter the toxic dictionary makes it. A text's
+largest gains are calibrated to a score by logistic regression on the labelled training rows.
+
+Of a toxic text only a few words are toxic, and only the text is labelled. So the toxic windows are found in rounds: the
+first toxic dictionary is trained on all windows of toxic texts (``SPAN`` words, every word begins one). A word's windows
+are those around it, each pair of neighbours once, so copies of a text add nothing; where they gain more in the mean
+than nearly all ordinary words' windows do, the word's windows train the next, smaller dictionary. Texts are cut in
+halves for this: a window is judged by the dictionary of the other half, so what one text alone has gains nothing.
+The last toxic dictionary is trained on the words that these windows are around, as often as they occur, and texts are
+scored by windows of one word: on longer ones ordinary neighbours outweigh a toxic word (figures in the README).
+
+Words are lower-cased and parted at white space and punctuation; each byte is written as ``WIDTH`` ones, so that a match
+of a short word outweighs a frame.
+
+Fitted on at most ``MAX_FIT_ROWS`` labelled rows, half of each label, by the order of a hash of the id; rows whose
+crc32(id as text) mod 5 is 0 are held out. Fitting and scoring take whole texts, also very long ones. Without both labels
+in the sample, or with too little text for a dictionary, every score is 0. A null text counts as empty and has no gains.
+Repeated rows get the same score. A null id isn't held out. Labels,
+language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,114 +34,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.kernel import release, slices
+from tarnlake.llm.kernel import FOLDS, Words, fold, release, slices, words_of
 from tarnlake.session import table
 
-#: Bounds of the sample that the dictionaries and the calibration are fitted on.
+#: Bound of the sample that the dictionaries and the calibration are fitted on.
 MAX_FIT_ROWS = 4000
-MAX_FIT_CHARS = 20_000
-ORDINARY_BYTES = 40_000
-TOXIC_BYTES = 8_000
-FOLDS = 5
-#: A piece of a word counts as typical of toxic windows from this z-score and support on.
-TYPICAL_Z = 8.0
-TYPICAL_SUPPORT = 6
-PIECES = (5, 6)
-CACHE_WORDS = 250_000
-EDGE = b".,!?;:*$%&#|\"'()"
-
-_SECOND = bytes((i * 7 + 131) % 256 for i in range(256))
-_THIRD = bytes((i * 11 + 57) % 256 for i in range(256))
+#: Words of a training window; the least windows around a word that judge it; how many standard errors its mean loses.
+SPAN = 3
+SUPPORT = 14
+SURE = 2.0
+#: The share of ordinary words that gain less than a toxic one must, and the least gain of a toxic word.
+ORDINARY_SHARE = 0.99
+LEAST_GAIN = 2.0
+#: Bytes of the ordinary dictionary, of the toxic one in each round of windows, and of the last one, of words.
+ORDINARY_BYTES = 200_000
+TOXIC_BYTES = (200_000, 40_000)
+WORD_BYTES = 8_000
+#: Windows that a dictionary is trained on, at most, evenly spread.
+TRAINED_ON = 40_000
+#: Gains of a text that are features.
+TOP = 3
+#: A gain that stands for one that a text doesn't have.
+NONE = -20.0
+WIDTH = 3
+CACHE_WORDS = 500_000
+_APART = np.zeros(256, bool)
+_APART[[9, 10, 11, 12, 13, *(ord(c) for c in " .,!?;:*$%&#|\"'()")]] = True
+_OTHERS = [bytes((i * a + b) % 256 for i in range(256)) for a, b in ((7, 131), (11, 57))]
 
 
 def widen(b: bytes) -> bytes:
-    out = bytearray(3 * len(b))
-    out[0::3], out[1::3], out[2::3] = b, b.translate(_SECOND), b.translate(_THIRD)
+    out = bytearray(WIDTH * len(b))
+    out[0::WIDTH] = b
+    for k, other in enumerate(_OTHERS, 1):
+        out[k::WIDTH] = b.translate(other)
     return bytes(out)
 
 
-def window(word: bytes) -> bytes:
-    return b" " + word.strip(EDGE) + b" "
+def window(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
 
 
-@dataclass
-class Model:
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, ...]  # intercept, largest gain, second largest, log of 1 + windows
-    level: float
+def train(windows: list[bytes], size: int):
+    """A zstandard dictionary of at most ``size`` bytes, or None where there is too little to train on."""
+    import zstandard as zs
 
-    def gains(self):
+    step = -(-len(windows) // TRAINED_ON)
+    try:
+        return zs.train_dictionary(size, [widen(w) for w in windows[:: max(1, step)]])
+    except (zs.ZstdError, ValueError):
+        return None
+
+
+class Lengths:
+    """Compressed lengths of windows with a dictionary (the bytes of a trained one, or of none)."""
+
+    def __init__(self, dictionary: bytes):
         import zstandard as zs
 
-        p = zs.ZstdCompressionParameters(window_log=19, chain_log=17, hash_log=17, search_log=6, min_match=4, target_length=64, strategy=zs.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
-        of = lambda d: zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(widen(d) or b"\0" * 16, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p)
-        a, b, known = of(self.ordinary), of(self.ordinary + self.toxic), {}
-
-        def gain(word: bytes) -> int:
-            found = known.get(word)
-            if found is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                x = widen(window(word))
-                found = known[word] = len(a.compress(x)) - len(b.compress(x))
-            return found
-
-        return gain
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def features(gain, words: list[bytes]) -> tuple[float, float, float]:
-    """Largest gain, the second largest of another word, log of 1 + words."""
-    best = second = 0
-    for w in set(words):
-        g = gain(w)
-        if g > best:
-            best, second = g, best
-        elif g > second:
-            second = g
-    return float(best), float(second), math.log1p(len(words))
-
-
-def _typical(texts: list[tuple[list[bytes], int]]) -> list[bytes]:
-    """Words of toxic windows that hold a piece which ordinary windows hardly have, rarest first.
-
-    A word counts once for each pair of neighbours, so copies of a text add nothing.
-    """
-    seen: set = set()
-    words, total = (Counter(), Counter()), [0, 0]
-    for ws, y in texts:
-        p = [b"", *ws, b""]
-        for a, w, b in zip(p, p[1:], p[2:], strict=False):
-            k = hash((y, a, w, b))
-            if k not in seen:
-                seen.add(k)
-                words[y][window(w)] += 1
-                total[y] += 1
-    del seen
-    cut = lambda x: {x[i : i + n] for n in PIECES for i in range(len(x) - n + 1)}
-    toxic: Counter = Counter()
-    for w, c in words[1].items():
-        for piece in cut(w):
-            toxic[piece] += c
-    pieces = (Counter(), Counter({p: c for p, c in toxic.items() if c >= TYPICAL_SUPPORT}))
-    del toxic
-    for w, c in words[0].items():
-        for piece in cut(w):
-            if piece in pieces[1]:
-                pieces[0][piece] += c
-    share = total[1] / max(1, total[0] + total[1])
-
-    def z(piece: bytes) -> float:
-        a, b = pieces[1][piece], pieces[0].get(piece, 0)
-        e = (a + b) * share
-        return (a - e) / math.sqrt(e + 1e-9) if a >= TYPICAL_SUPPORT and a > 3 * (b + 0.5) * share / max(1e-9, 1 - share) else 0.0
-
-    hot = {p for p in pieces[1] if z(p) > TYPICAL_Z}
-    return [w for w, _ in sorted(((w, c) for w, c in words[1].items() if cut(w) & hot), key=lambda x: (x[1], x[0]))]
+        p = zs.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        self.compress = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=p).compress
+
+    def of(self, windows: list[bytes]) -> np.ndarray:
+        f = self.compress
+        return np.array([len(f(widen(w))) for w in windows], np.int64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -149,59 +115,190 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.concatenate([[w[0] - float(mean @ scaled)], scaled])
 
 
+def _tokens(text: str | None) -> list[bytes]:
+    w = words_of(pa.array([text], pa.string()), lower=True, apart=_APART)
+    raw = w.data.tobytes()
+    return [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+
+
+class Windows:
+    """The distinct windows of some texts: each text's, in order, and the first text of each."""
+
+    def __init__(self, texts: list[list[bytes]], span: int):
+        numbers: dict[bytes, int] = {}
+        self.of_text, first = [], []
+        for k, words in enumerate(texts):
+            own = dict.fromkeys(window(words[i : i + span]) for i in range(max(1, len(words) - span + 1))) if words else {}
+            self.of_text.append(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int64))
+            first += [k] * (len(numbers) - len(first))
+        self.windows, self.half = list(numbers), np.array(first, np.int64) % 2
+
+    def __len__(self) -> int:
+        return len(self.windows)
+
+    def pick(self, on: np.ndarray) -> list[bytes]:
+        return [self.windows[i] for i in np.flatnonzero(on).tolist()]
+
+
+def _cross_gains(w: Windows, base: np.ndarray, halves: list) -> np.ndarray:
+    """Each window's gain by the dictionary of the other half."""
+    out = np.zeros(len(w))
+    for h in (0, 1):
+        own = w.half == h
+        out[own] = base[own] - halves[1 - h].of(w.pick(own))
+    return out
+
+
+def _halves(of_half, size: int) -> list | None:
+    """Lengths by the dictionaries of either half's windows."""
+    found = [train(of_half(h), size) for h in (0, 1)]
+    return None if None in found else [Lengths(d.as_bytes()) for d in found]
+
+
+def _middles(w: Windows, places: dict[bytes, int]) -> np.ndarray:
+    """The word that each window is around, numbered; words that are new get the next number."""
+    middle = []
+    for x in w.windows:
+        words = x.split()
+        middle.append(places.setdefault(words[len(words) // 2], len(places)))
+    return np.array(middle, np.int64)
+
+
+def _means(middle: np.ndarray, gains: np.ndarray, words: int) -> np.ndarray:
+    """Each word's mean gain over the windows around it, less SURE standard errors; -inf for words of under SUPPORT windows."""
+    n = np.bincount(middle, minlength=words)
+    total = np.bincount(middle, gains, minlength=words)
+    few = np.sqrt(np.maximum(n, 1))
+    return np.where(n >= SUPPORT, total / np.maximum(n, 1) - SURE * gains.std() / few, -np.inf)
+
+
+def _toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], by_ordinary: Lengths) -> list[list[bytes]] | None:
+    """For either half the toxic words, once for each window around them: those whose windows gain more in the mean than
+    nearly all ordinary words' do."""
+    t, o = Windows(toxic, SPAN), Windows(ordinary, SPAN)
+    t_base, o_base = by_ordinary.of(t.windows), by_ordinary.of(o.windows)
+    places: dict[bytes, int] = {}
+    t_middle, o_middle = _middles(t, places), _middles(o, places)
+    on = np.ones(len(t), bool)
+    for size in TOXIC_BYTES:
+        halves = _halves(lambda h, on=on: t.pick(on & (t.half == h)), size)
+        if halves is None:
+            return None
+        usual = _means(o_middle, _cross_gains(o, o_base, halves), len(places))
+        usual = usual[usual > -np.inf]
+        least = max(LEAST_GAIN, float(np.quantile(usual, ORDINARY_SHARE))) if len(usual) else LEAST_GAIN
+        on = (_means(t_middle, _cross_gains(t, t_base, halves), len(places)) >= least)[t_middle]
+    words = [window([x]) for x in places]
+    return [[words[k] for k in t_middle[on & (t.half == h)].tolist()] for h in (0, 1)]
+
+
+@dataclass
+class Model:
+    ordinary: bytes
+    toxic: bytes
+    weights: tuple[float, ...]  # intercept, the TOP largest gains of different words, log of 1 + words
+
+    def lengths(self) -> tuple[Lengths, Lengths]:
+        return Lengths(self.ordinary), Lengths(self.toxic)
+
+
+def features(gains: np.ndarray, words: int) -> list[float]:
+    """Of a text's distinct words' gains the largest, and log of 1 + words."""
+    best = np.sort(gains)[::-1][:TOP]
+    return [*best.tolist(), *[NONE] * (TOP - len(best)), math.log1p(words)]
+
+
 def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model | None:
     """Dictionaries and calibration from (text, label) rows; ``share`` is that of label 1 among all labelled rows, where
     the sample has another one."""
-    import zstandard as zs
-
-    texts = [(_words(t), int(y)) for t, y in rows if y in (0, 1)]
-    if len({y for _, y in texts}) < 2:
+    texts = [(_tokens(t), int(y)) for t, y in rows if y in (0, 1)]
+    toxic, ordinary = ([w for w, y in texts if y == side] for side in (1, 0))
+    if not toxic or not ordinary:
         return None
-    samples = [b" " + b" ".join(w.strip(EDGE) for w in ws[i : i + 6]) + b" " for ws, y in texts if not y for i in range(0, len(ws), 6)]
-    samples = samples[:: max(1, len(samples) // 40_000)]
-    try:
-        ordinary = zs.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zs.ZstdError:  # too little text to train on
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:]
-    model = Model(ordinary, b"".join(_typical(texts))[-TOXIC_BYTES:], (0.0, 0.0, 0.0, 0.0), 0.0)
-    gain = model.gains()
-    x, y = np.array([features(gain, ws) for ws, _ in texts]), np.array([y for _, y in texts], float)
-    weights = _logistic(x, y)
+    base = train(Windows(ordinary, SPAN).windows, ORDINARY_BYTES)
+    if base is None:
+        return None
+    by_ordinary = Lengths(base.as_bytes())
+    cores = _toxic_words(toxic, ordinary, by_ordinary)
+    if cores is None:
+        return None
+    halves = _halves(lambda h: cores[h], WORD_BYTES)
+    last = train(cores[0] + cores[1], WORD_BYTES)
+    if halves is None or last is None:
+        return None
+    t, o = Windows(toxic, 1), Windows(ordinary, 1)
+    t_base, o_base = by_ordinary.of(t.windows), by_ordinary.of(o.windows)
+    by_half = [t_base - halves[1 - h].of(t.windows) for h in (0, 1)]  # a text is judged by the other half's dictionary
+    o_gains = [o_base - halves[h].of(o.windows) for h in (0, 1)]
+    x = [features(by_half[k % 2][own], len(w)) for k, (own, w) in enumerate(zip(t.of_text, toxic, strict=True))]
+    x += [features(o_gains[k % 2][own], len(w)) for k, (own, w) in enumerate(zip(o.of_text, ordinary, strict=True))]
+    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
+    weights = _logistic(np.array(x), y)
     if share:
         weights[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
-    model.weights = tuple(float(v) for v in weights)
-    del texts, samples, gain
     release()
-    return model
-
-
-def fold(doc_id) -> "F.Column":
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
+    return Model(base.as_bytes(), last.as_bytes(), tuple(float(v) for v in weights))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on labelled rows outside the held-out fold: at most MAX_FIT_ROWS / 2 of each label."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").alias("y")).where("doc_id is not null and y in (0, 1)").where(fold(F.col("doc_id")) != 0).dropDuplicates(["doc_id"])
-    known = known.withColumn("r", F.xxhash64("doc_id"))
-    picked = known.where("y = 1").orderBy("r", "doc_id").limit(MAX_FIT_ROWS // 2).unionByName(known.where("y = 0").orderBy("r", "doc_id").limit(MAX_FIT_ROWS // 2))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(text_col, 1, MAX_FIT_CHARS).alias("text"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.where(fold(F.col("doc_id")) != 0).dropDuplicates(["doc_id"]).withColumn("r", F.xxhash64("doc_id"))
+    side = lambda y: known.where(F.col("y") == y).orderBy("r", "doc_id").limit(MAX_FIT_ROWS // 2)
+    picked = side(1).unionByName(side(0))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()  # at most MAX_FIT_ROWS rows
     rows.sort(key=lambda r: r.doc_id)
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     return fit([(r.text, r.y) for r in rows], n[1] / (n[0] + n[1]) if n.get(0) and n.get(1) else None)
 
 
+class Scorer:
+    """Scores of texts; the gains of words that were met before are remembered."""
+
+    def __init__(self, model: Model):
+        self.weights = np.array(model.weights)
+        self.by_ordinary, self.by_toxic = model.lengths()
+        self.known: dict[int, int] = {}
+
+    def _gains(self, w: Words) -> np.ndarray:
+        """Gain of each word of the slice; equal words are compressed once."""
+        hashes, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        keys, known = hashes.tolist(), self.known
+        raw = w.data.tobytes()
+        ordinary, toxic = self.by_ordinary.compress, self.by_toxic.compress
+        for k, a, b in zip(keys, w.start[first].tolist(), w.end[first].tolist(), strict=True):
+            if k not in known:
+                x = widen(window([raw[a:b]]))
+                known[k] = len(ordinary(x)) - len(toxic(x))
+        return np.array([known[k] for k in keys], np.float64)[back]
+
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        w = words_of(texts, lower=True, apart=_APART)
+        n = len(w.first) - 1
+        x = np.full((n, TOP + 1), NONE)
+        x[:, TOP] = np.log1p(np.diff(w.first))
+        if len(w.hash):
+            gains = self._gains(w)
+            order = np.lexsort((w.hash, -gains, w.doc))
+            doc, h, g = w.doc[order], w.hash[order], gains[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])  # different words of a text
+            doc, g = doc[new], g[new]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            best = rank < TOP
+            x[doc[best], rank[best]] = g[best]
+        return self.weights[0] + x @ self.weights[1:]
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score", by: str = "doc_id") -> DataFrame:
     """(by, out): the score of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = model.gains() if model else None
+        scorer = Scorer(model) if model else None
         for b in slices(batches, text_col):
-            if model:
-                x = np.array([features(gain, _words(t)) for t in b.column(1).to_pylist()]).reshape(-1, 3)
-                s = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
-            else:
-                s = np.zeros(b.num_rows)
+            s = 1 / (1 + np.exp(-np.clip(scorer.logits(b.column(1)), -30, 30))) if scorer else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=[by, out])
 
     return docs.select(F.col(by).cast("long").alias(by), F.col(text_col)).mapInArrow(run, f"{by} long, {out} double")
@@ -212,13 +309,9 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = model.gains() if model else None
+        scorer = Scorer(model) if model else None
         for b in slices(batches, text_col):
-            if not model:
-                yield b
-                continue
-            x = np.array([features(gain, _words(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3)
-            yield b.filter(pa.array(model.weights[0] + x @ np.array(model.weights[1:]) < 0))
+            yield b.filter(pa.array(scorer.logits(b.column(at)) < 0)) if scorer else b
 
     return docs.mapInArrow(run, docs.schema)
 

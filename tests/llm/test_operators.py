@@ -555,6 +555,29 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
 
 
+def test_scores_are_those_of_a_plain_scorer():
+    """Every word of a text compressed on its own with either trained dictionary, without slices or memory."""
+    import zstandard
+
+    rows = toxic_corpus()
+    model = toxicity.fit([(t, y) for _, t, y in rows], 0.25)
+    kept = [zstandard.ZstdCompressionDict(d) for d in (model.ordinary, model.toxic)]
+    assert [d.dict_id() > 0 for d in kept] == [True, True] and model.toxic not in model.ordinary + model.toxic[:-1]
+    texts = [*(t for _, t, _ in rows[:40]), None, "", "one", "A vokkyx, (VOKKYX) vokkyx!", "x" * 5000, *(rows[4][1],) * 2]
+    by = model.lengths()
+
+    def plain(t):
+        words = re.findall(r"""[^\x20\x09-\x0D.,!?;:*$%&#|"'()]+""", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        gains = sorted((int(by[0].of([toxicity.window([w])])[0] - by[1].of([toxicity.window([w])])[0]) for w in {x.encode() for x in words}), reverse=True)
+        x = (gains + [toxicity.NONE] * toxicity.TOP)[: toxicity.TOP] + [math.log1p(len(words))]
+        return model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+
+    got = toxicity.Scorer(model).logits(pa.array(texts, pa.string()))
+    assert got == pytest.approx([plain(t) for t in texts])
+    again = toxicity.fit([(t, y) for _, t, y in rows], 0.25)
+    assert again == model
+
+
 def test_toxicity_of_odd_rows(odd, none, some_labels):
     assert toxicity.toxicity(odd, some_labels).count() == odd.count()
     assert {r.score for r in toxicity.toxicity(odd, some_labels.where("false")).collect()} == {0.0}
