@@ -34,7 +34,7 @@ def rows_of(spark, n=500):
 @pytest.mark.parametrize("by", [["g"], []])
 def test_numbers_and_sums(many_parts, by):
     rows, d = rows_of(many_parts)
-    got = {r.id: (r.rank, r.n, r.upto) for r in running(numbered(d, by, ["k", F.desc("id")], "rank", "n"), by, ["k", F.desc("id")], "v", "upto").collect()}
+    got = {r.id: (r.rank, r.n, r.upto) for r in running(numbered(d, by, ["k", -F.col("id")], "rank", "n"), by, ["k", -F.col("id")], "v", "upto").collect()}
     want = {}
     for g in {r[1] for r in rows} if by else {None}:
         own = sorted((r for r in rows if not by or r[1] == g), key=lambda r: (r[2], -r[0]))
