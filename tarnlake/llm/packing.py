@@ -5,12 +5,14 @@ Dual-feasible functions give a lower bound on each partition's bin count. A part
 bound is certified; its well-filled sequences stay. The items of its underfilled sequences, and those of
 partitions with a gap, are exchanged: dealt anew over fewer partitions, which run best-fit decreasing again.
 
-Null or empty texts become a document of the end token alone. Repeated rows are packed once each. Other
-columns of the input are ignored. An empty table gives an empty result.
+Null or empty texts become a document of the end token alone. Repeated rows, and rows of one id or of a null id, are
+packed once each. Very long texts are taken whole and cut into pieces of the capacity. Pieces of one length are packed in
+the order of their number. Other columns of the input are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -46,13 +48,24 @@ def _encoder(path: str):
     return WordEncoder(Tokenizer.from_file(path))
 
 
+#: How the tokenizer of ``word_bpe_49k.json`` normalises and splits texts, as its file states it.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
 class WordEncoder(dict):
-    """Ids of texts as little-endian bytes, word by word.
+    """Ids of texts as little-endian bytes, word by word where the tokenizer allows it.
 
-    This vocabulary drops white space, lower-cases, and never joins over white space, so a text's ids are its
-    words' ids in a row. A worker remembers the words it has met. A word of plain Latin letters is one
+    One that works as BY_WORDS says drops white space, lower-cases, and never joins over white space, so a text's ids are
+    its words' ids in a row. A worker remembers the words it has met. A word of plain Latin letters is one
     pre-token, which goes to the BPE model itself; punctuation after letters or digits is a pre-token of its
-    own, so the two parts are looked up apart; all else goes through the whole tokenizer.
+    own, so the two parts are looked up apart; all else goes through the whole tokenizer. So does every text with
+    a tokenizer that works in another way.
     """
 
     TRAIL = b".,!?;:*$%&#|"
@@ -60,6 +73,9 @@ class WordEncoder(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        states = json.loads(tokenizer.to_str())
+        special = {t["content"] for t in states["added_tokens"]}
+        self.by_words = all(states[k] == v for k, v in BY_WORDS.items()) and all(t.startswith("<|") for t in special)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: printable bytes stay
         other = [b for b in range(256) if b not in kept]
         self.letters = dict(zip(kept, kept, strict=True)) | {b: 256 + i for i, b in enumerate(other)}
@@ -86,7 +102,7 @@ class WordEncoder(dict):
         out = []
         for t in texts:
             raw = t.encode()
-            out.append(self.whole(t) if b"<|" in raw else b"".join(map(self.__getitem__, raw.lower().split())))
+            out.append(self.whole(t) if not self.by_words or b"<|" in raw else b"".join(map(self.__getitem__, raw.lower().split())))
         return out
 
 
