@@ -138,11 +138,11 @@ def file_kind(path: Column) -> Column:
 
 
 def readable_bytes(n: Column) -> Column:
-    """In the largest unit under 1024 of it, with one decimal from KB on."""
+    """In the largest unit under 1024 of it, with one decimal from KB on; halves to even."""
     units = ("B", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.1f TB", n / float(1 << 40))
+    out = F.format_string("%.1f TB", F.bround(n / float(1 << 40), 1))
     for k in range(len(units) - 2, -1, -1):
-        shown = F.concat(n.cast("long").cast("string"), F.lit(" B")) if k == 0 else F.format_string(f"%.1f {units[k]}", n / float(1 << 10 * k))
+        shown = F.concat(n.cast("long").cast("string"), F.lit(" B")) if k == 0 else F.format_string(f"%.1f {units[k]}", F.bround(n / float(1 << 10 * k), 1))
         out = F.when(n < float(1 << 10 * (k + 1)), shown).otherwise(out)
     return out
 
