@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarnlake.functions import scalars as S
+from tarnlake.operators.splits import labelled
 from tarnlake.session import file_system, new_path, shared_dir
 
 MANIFEST = "shard string, member string, bytes bigint, sha256 string, ext string, width int, height int, mode string, phash string, corrupt boolean, shard_group string"
@@ -85,6 +87,22 @@ def tsv_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.instr("value", "\t") > 0).select(cut[0].cast("int").alias("shard_idx"), cut[1].alias("member"))
 
 
+def hash_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, hash) of a JSON object of hex hashes by file stem; the hash as a bigint of the same bits."""
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("stem", "hex"))
+    return found.select("stem", S.hash_bits(F.col("hex")).alias("hash"))
+
+
+def labelled_images(spark: SparkSession, folder: str, labels: DataFrame, key: str = "stem", column: str = "finding") -> DataFrame:
+    """(path, size, stem, relative, finding): the pictures below a folder with the label that ``labels`` (key, column) has for
+    their stem, else the finding that their path names; pictures with neither are left out. Contents aren't read."""
+    root = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
+    files = listing(spark, folder).where(S.has_extension(F.col("path")))
+    relative = F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})")
+    found = files.withColumn("relative", relative).withColumn(key, F.regexp_replace("name", r"\.[^.]*$", ""))
+    return labelled(found, labels, key, column, S.path_labels(F.col("relative"))[2]).select("path", "size", key, "relative", column)
+
+
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with header; header blanks are trimmed, values too."""
     d = spark.read.option("header", True).schema(schema).csv(path) if schema else spark.read.option("header", True).csv(path)

@@ -10,6 +10,7 @@ import hashlib
 import io
 import os
 import re
+import tarfile
 import time
 import urllib.error
 import urllib.request
@@ -116,6 +117,29 @@ class PortalClient:
         return zipfile.ZipFile(RangeFile(self, file_id, size)).namelist()
 
 
+    def tar_members(self, file_id: str, size: int, chunk: int = 4 << 20) -> Iterator[tuple[str, int, bytes]]:
+        """(name, size, payload) of a remote tar's files, in order, read in ranges of about ``chunk`` bytes."""
+        with tarfile.open(fileobj=io.BufferedReader(RangeFile(self, file_id, size), chunk), mode="r:") as t:
+            for m in t:
+                if m.isfile():
+                    yield m.name, m.size, t.extractfile(m).read()
+
+
+def read_remote_tars(spec: DataFrame, client: Callable[[], PortalClient]) -> DataFrame:
+    """Members of the remote tars of ``spec`` (id, name, size): (archive, index, member, bytes, payload), one task a tar."""
+    work = spec.select("name", F.col("id").cast("string").alias("id"), F.col("size").cast("long").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        portal = client()
+        for b in batches:
+            for r in b.to_pylist():
+                for i, (name, size, payload) in enumerate(portal.tar_members(r["id"], r["size"])):
+                    arrays = [pa.array([r["name"]]), pa.array([i], pa.int32()), pa.array([name]), pa.array([size], pa.int64()), pa.array([payload], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["archive", "index", "member", "bytes", "payload"])
+
+    return work.repartition(max(1, min(work.count(), 1000)), "name").mapInArrow(run, "archive string, index int, member string, bytes long, payload binary")
+
+
 class RangeFile(io.RawIOBase):
     """A remote file as a seekable one; reads are ranges."""
 
@@ -135,6 +159,11 @@ class RangeFile(io.RawIOBase):
         self.at = {0: 0, 1: self.at, 2: self.size}[whence] + offset
         return self.at
 
+    def readinto(self, b) -> int:
+        got = self.read(len(b))
+        b[: len(got)] = got
+        return len(got)
+
     def read(self, n: int = -1) -> bytes:
         end = self.size if n is None or n < 0 else min(self.size, self.at + n)
         if end <= self.at:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.sources import archives, image, lake
 from tarnlake.sources.curate import curate
-from tarnlake.sources.portal import PortalClient, PortalError, ingest, resolve_source
+from tarnlake.sources.portal import PortalClient, PortalError, ingest, read_remote_tars, resolve_source
 from tarnlake.streaming.jobs import RESUBMIT, drain, ingest_new, run_phases, telemetry, write_stream_manifest
 from tarnlake.streaming.source import BatchReader, cuts, epoch_items
 
@@ -268,6 +268,45 @@ def test_remote_zip_listing():
     assert c.zip_names("f", len(data)) == ["a.png", "b.png"]
 
 
+def test_remote_tars(spark):
+    spec = spark.createDataFrame([("a.tar", "1"), ("b.tar", "2")], "name string, id string")
+
+    def make():
+        import tarfile
+
+        def data(i):
+            b = io.BytesIO()
+            with tarfile.open(fileobj=b, mode="w") as t:
+                for k in range(3):
+                    info = tarfile.TarInfo(f"{i}-{k}.png")
+                    info.size = 700 * k
+                    t.addfile(info, io.BytesIO(bytes([k]) * info.size))
+            return b.getvalue()
+
+        def fetch(url, headers):
+            a, _, b = headers["Range"].removeprefix("bytes=").partition("-")
+            return 206, {}, data(url)[int(a) : int(b) + 1]
+
+        client = PortalClient(lambda i: i, fetch=fetch)
+        client.length = lambda i: len(data(i))
+        return client
+
+    sized = spec.withColumn("size", F.lit(make().length("1")))
+    got = sorted((r.archive, r["index"], r.member, r.bytes, len(r.payload)) for r in read_remote_tars(sized, make).collect())
+    assert got == [(f"{n}.tar", k, f"{i}-{k}.png", 700 * k, 700 * k) for n, i in (("a", 1), ("b", 2)) for k in range(3)]
+
+
+def test_hash_cache_and_labelled_images(spark, tmp_path):
+    (tmp_path / "h.json").write_text(json.dumps({"a": "ffffffffffffffff", "b": "0000000000000001"}))
+    assert sorted(map(tuple, lake.hash_cache(spark, str(tmp_path / "h.json")).collect())) == [("a", -1), ("b", 1)]
+    for p in ("lower-gi-tract/c/polyp/a.jpg", "lower-gi-tract/c/polyp/b.PNG", "loose.png", "lower-gi-tract/c/polyp/notes.txt"):
+        (tmp_path / "im" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "im" / p).write_bytes(b"x")
+    labels = spark.createDataFrame([("a", "cecum")], "stem string, finding string")
+    got = lake.labelled_images(spark, str(tmp_path / "im"), labels).collect()
+    assert sorted((r.stem, r.relative, r.finding) for r in got) == [("a", "lower-gi-tract/c/polyp/a.jpg", "cecum"), ("b", "lower-gi-tract/c/polyp/b.PNG", "polyp")]
+
+
 def test_source_mode():
     assert resolve_source("local_zip", None, "portal_zip") == "portal_zip"
     with pytest.raises(ValueError):
