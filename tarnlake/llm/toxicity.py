@@ -57,7 +57,7 @@ TOP = 3
 #: A gain that stands for one that a text doesn't have.
 NONE = -20.0
 WIDTH = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _APART = np.zeros(256, bool)
 _APART[[9, 10, 11, 12, 13, *(ord(c) for c in " .,!?;:*$%&#|\"'()")]] = True
 _OTHERS = [bytes((i * a + b) % 256 for i in range(256)) for a, b in ((7, 131), (11, 57))]
@@ -115,10 +115,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.concatenate([[w[0] - float(mean @ scaled)], scaled])
 
 
-def _tokens(text: str | None) -> list[bytes]:
+def _tokens(text: str | None, known: dict[bytes, bytes]) -> list[bytes]:
+    """The words of a text; ``known`` holds one object for equal words of all texts."""
     w = words_of(pa.array([text], pa.string()), lower=True, apart=_APART)
     raw = w.data.tobytes()
-    return [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+    found = (raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True))
+    return [known.setdefault(x, x) for x in found]
 
 
 class Windows:
@@ -211,17 +213,21 @@ def features(gains: np.ndarray, words: int) -> list[float]:
 def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model | None:
     """Dictionaries and calibration from (text, label) rows; ``share`` is that of label 1 among all labelled rows, where
     the sample has another one."""
-    texts = [(_tokens(t), int(y)) for t, y in rows if y in (0, 1)]
+    known: dict[bytes, bytes] = {}
+    texts = [(_tokens(t, known), int(y)) for t, y in rows if y in (0, 1)]
     toxic, ordinary = ([w for w, y in texts if y == side] for side in (1, 0))
+    del known, texts
     if not toxic or not ordinary:
         return None
     base = train(Windows(ordinary, SPAN).windows, ORDINARY_BYTES)
     if base is None:
         return None
     by_ordinary = Lengths(base.as_bytes())
+    release()
     cores = _toxic_words(toxic, ordinary, by_ordinary)
     if cores is None:
         return None
+    release()
     halves = _halves(lambda h: cores[h], WORD_BYTES)
     last = train(cores[0] + cores[1], WORD_BYTES)
     if halves is None or last is None:
@@ -300,6 +306,8 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str
         for b in slices(batches, text_col):
             s = 1 / (1 + np.exp(-np.clip(scorer.logits(b.column(1)), -30, 30))) if scorer else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=[by, out])
+        del scorer
+        release()
 
     return docs.select(F.col(by).cast("long").alias(by), F.col(text_col)).mapInArrow(run, f"{by} long, {out} double")
 
@@ -312,6 +320,8 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
         scorer = Scorer(model) if model else None
         for b in slices(batches, text_col):
             yield b.filter(pa.array(scorer.logits(b.column(at)) < 0)) if scorer else b
+        del scorer
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
