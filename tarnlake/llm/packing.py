@@ -108,7 +108,7 @@ class WordEncoder(dict):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's token pieces; only documents over the capacity are cut."""
-    from tarnlake.llm.kernel import slices
+    from tarnlake.llm.kernel import release, slices
 
     end = int(end_id).to_bytes(4, "little")
 
@@ -122,7 +122,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     cut = ids[at : at + 4 * capacity]
                     for name, v in zip(out, (d, k, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
                         out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))], names=list(out))
+            longs = (pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *longs], names=list(out))
+        encoder.clear()  # workers are kept, and serve other operators next
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
 
