@@ -17,11 +17,12 @@ from tarnlake.streaming.source import ArchiveBatches
 RESUBMIT = 75
 
 
-def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches: int | None = None, timeout: float = 300) -> list[dict]:
+def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches: int | None = None, timeout: float | None = None, stall: float = 300) -> list[dict]:
     """Consume the stream into ``out`` until it ends, or until ``batches`` triggers are committed; returns each trigger's rows and seconds.
 
     The sink writes each trigger to a folder of its number, so that a replay overwrites itself. A stream that hasn't
-    ended in time is an error: what is there then isn't the whole table.
+    ended in ``timeout`` seconds, if given, or that commits no trigger for ``stall`` seconds, is an error: what is there then isn't
+    the whole table. How long a stream takes grows with its table, so there is no limit on the whole by default.
     """
     spark.dataSource.register(ArchiveBatches)
     reader = spark.readStream.format("archive_batches")
@@ -44,11 +45,17 @@ def drain(spark: SparkSession, options: dict, out: str, checkpoint: str, batches
         ended.set()
 
     threading.Thread(target=wait, daemon=True).start()
-    end = time.time() + timeout
+    began = moved = time.time()
+    seen = 0
     try:
         while not ended.wait(0.02) and not (batches is not None and done[0] >= batches):
-            if time.time() > end:
+            now = time.time()
+            if done[0] > seen:
+                seen, moved = done[0], now
+            if timeout is not None and now > began + timeout:
                 raise TimeoutError(f"the stream hasn't ended in {timeout:g} s")
+            if now > moved + stall:
+                raise TimeoutError(f"the stream has committed nothing for {stall:g} s")
         if error and not (batches is not None and done[0] >= batches):
             raise RuntimeError(str(error[0])) from error[0]
         return [_progress(p) for p in q.recentProgress if p["numInputRows"]]

@@ -2,9 +2,12 @@ import hashlib
 import io
 import json
 import os
+import time
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from tarnlake.sources import archives, image, lake
 from tarnlake.sources.curate import curate
 from tarnlake.sources.portal import PortalClient, PortalError, ingest, read_remote_tars, resolve_source
 from tarnlake.streaming.jobs import RESUBMIT, drain, ingest_new, run_phases, telemetry, write_stream_manifest
-from tarnlake.streaming.source import BatchReader, cuts, epoch_items
+from tarnlake.streaming.source import BatchReader, _ordered, cuts, epoch_items
 
 
 def picture(seed, h=24, w=36):
@@ -367,6 +370,23 @@ def test_a_stream_that_does_not_end_is_an_error(spark, folder, tmp_path):
         drain(spark, o, str(tmp_path / "out"), str(tmp_path / "cp"), timeout=1.5)
 
 
+def test_a_long_stream_that_goes_on_is_no_error(spark, folder, tmp_path, monkeypatch):
+    """Each trigger takes 200 s of this clock: more than 300 s in all, less than that without one."""
+    o, began = manifest(tmp_path / "m.json", folder), time.time()
+    monkeypatch.setattr("tarnlake.streaming.jobs.time", SimpleNamespace(time=lambda: began + 200 * len(list((tmp_path / "out").glob("trigger=*/_SUCCESS")))))
+    assert sum(p["rows"] for p in drain(spark, o, str(tmp_path / "out"), str(tmp_path / "cp"))) == 27
+    monkeypatch.undo()
+    with pytest.raises(TimeoutError, match="nothing for"):
+        drain(spark, o, str(tmp_path / "other"), str(tmp_path / "cp2"), stall=-1)
+
+
+def test_workers_keep_few_archives_in_order():
+    o = [json.dumps({"id": i, "members": [f"m{m}" for m in range(1000)]}) for i in range(20)]
+    for x in o:
+        kept = _ordered(x, 1, 0)
+    assert isinstance(kept, pa.ChunkedArray) and _ordered.cache_info().currsize <= 2
+
+
 def test_members_of_a_manifest_in_tables(spark, tmp_path):
     """The driver's manifest has counts only; the order is that of the members listed in it."""
     rows = [(f"a{a}", f"m{m}") for a in range(3) for m in range(5 + a)]
