@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -209,11 +211,20 @@ def scrub(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row; a lambda over an array would compute what it names anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    n = F.size(v)
-    mean = array_sum(v) / n
-    var = array_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / n
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + eps))
+    def of(v: Column) -> Column:
+        return once(array_sum(v) / F.nullif(F.size(v), F.lit(0)), lambda mean: of_mean(v, mean))
+
+    def of_mean(v: Column, mean: Column) -> Column:
+        var = array_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.nullif(F.size(v), F.lit(0))
+        return once(F.sqrt(var + eps), lambda scale: F.transform(v, lambda x: (x - mean) / scale))
+
+    return once(v, of)
 
 
 def mean_pool(tokens: Column) -> Column:
