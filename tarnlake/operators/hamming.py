@@ -3,6 +3,7 @@
 Within distance d, one of d + 1 bands of a hash is equal in both (pigeonhole), so pairs are found by an equi-join on
 (band, bits) and verified with bit_count. Bands under ``MIN_BAND_BITS`` would hardly select; then bits are spread
 over fewer bands, and each is matched up to the distance that the pigeonhole leaves to it, by listing its near values.
+Where even these would name a large share of all pairs, components and matches are found by tiles (see ``tiles``).
 Hashes are made distinct first: equal ones are counted, not joined.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions.scalars import hamming
 from tarnlake.operators.nearest import nearest_distance
 from tarnlake.operators.components import connected_components
+from tarnlake.operators.tiles import tile_links
 from tarnlake.session import materialize
 
 MIN_BAND_BITS = 9
@@ -32,6 +34,12 @@ def bands(distance: int) -> tuple[list[tuple[int, int]], int]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], flips
 
 
+def selective(distance: int) -> bool:
+    """Whether bands name few pairs beside the near ones."""
+    cuts, flips = bands(distance)
+    return min(bits for _, bits in cuts) >= MIN_BAND_BITS * (flips + 1)
+
+
 def _keys(column: str, cuts: list[tuple[int, int]], flips: int):
     out = []
     for i, (shift, bits) in enumerate(cuts):
@@ -61,8 +69,8 @@ def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
 
 def near_duplicate_anti_join(rows: DataFrame, reference: DataFrame, distance: int) -> DataFrame:
     """Rows without a reference row within the distance; rows without a hash stay."""
-    cuts, flips = bands(distance)
     r = reference.where("hash is not null").select("hash").distinct()
+    cuts, flips = bands(distance)
     left = rows.where("hash is not null").select(F.col("hash").alias("ha")).distinct().select("ha", F.explode(_keys("ha", cuts, flips)).alias("k"))
     right = r.select(F.col("hash").alias("hb"), F.explode(_keys("hash", cuts, 0)).alias("k"))
     near = left.join(right, "k").where(hamming(F.col("ha"), F.col("hb")) <= distance).select(F.col("ha").alias("hash")).distinct()
@@ -79,7 +87,8 @@ def naive_pairs(rows: DataFrame, distance: int) -> DataFrame:
 def hash_components(rows: DataFrame, distance: int) -> DataFrame:
     """(id, component): single-linkage clusters, named by their least id."""
     unique = materialize(rows.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")), "hashes")
-    label = connected_components(hamming_pairs(unique, distance)).withColumnRenamed("node", "id")
+    links = hamming_pairs(unique, distance) if selective(distance) else tile_links(unique, distance)
+    label = connected_components(links).withColumnRenamed("node", "id")
     named = unique.join(label, "id", "left").select("hash", F.coalesce("component", "id").alias("component"))
     return rows.join(named, "hash", "left").select("id", F.coalesce("component", "id").alias("component"))
 

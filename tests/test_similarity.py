@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnlake.functions import scalars as S
-from tarnlake.operators import hamming
+from tarnlake.operators import hamming, tiles
 from tarnlake.operators.components import connected_components
 from tarnlake.plans.inspect import plan_of
 
@@ -79,3 +79,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(edges)
     assert got.count() == 301 and got.where("component <> 0").count() == 0
+
+
+@pytest.mark.parametrize("tile_rows", [30, 10_000])
+def test_tiles_have_the_components_and_matches_of_all_pairs(spark, tile_rows):
+    rows = frame(spark, sorted(set(planted())))
+    ends = lambda e: sorted(map(tuple, connected_components(e).collect()))
+    assert ends(tiles.tile_links(rows, 18, tile_rows)) == ends(hamming.naive_pairs(rows, 18))
+    left, right = rows.where("id % 3 = 0").select("hash"), rows.where("id % 3 <> 0").select("hash")
+    near = left.join(right.withColumnRenamed("hash", "other"), S.hamming(F.col("hash"), F.col("other")) <= 18, "left_semi")
+    assert sorted(tiles.tile_matches(left, right, 18, tile_rows).collect()) == sorted(near.collect())
+
+
+def test_large_distances_list_no_values_of_bands(spark):
+    """At 18 bits bands name two pairs in three; a row went into 322 keys."""
+    assert not hamming.selective(18) and hamming.selective(6)
+    rows = frame(spark, planted(10))
+    links = tiles.tile_links(rows, 18)
+    assert links.count() < rows.count()
