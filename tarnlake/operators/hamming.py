@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions.scalars import hamming
 from tarnlake.operators.nearest import nearest_distance
 from tarnlake.operators.components import connected_components
-from tarnlake.operators.tiles import tile_links
+from tarnlake.operators.tiles import tile_links, tile_matches
 from tarnlake.session import materialize
 
 MIN_BAND_BITS = 9
@@ -70,6 +70,9 @@ def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
 def near_duplicate_anti_join(rows: DataFrame, reference: DataFrame, distance: int) -> DataFrame:
     """Rows without a reference row within the distance; rows without a hash stay."""
     r = reference.where("hash is not null").select("hash").distinct()
+    if not selective(distance):
+        asked = materialize(rows.where("hash is not null").select("hash").distinct(), "asked")
+        return rows.join(materialize(tile_matches(asked, materialize(r, "references"), distance), "near"), "hash", "left_anti")
     cuts, flips = bands(distance)
     left = rows.where("hash is not null").select(F.col("hash").alias("ha")).distinct().select("ha", F.explode(_keys("ha", cuts, flips)).alias("k"))
     right = r.select(F.col("hash").alias("hb"), F.explode(_keys("hash", cuts, 0)).alias("k"))

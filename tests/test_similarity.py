@@ -95,5 +95,7 @@ def test_large_distances_list_no_values_of_bands(spark):
     """At 18 bits bands name two pairs in three; a row went into 322 keys."""
     assert not hamming.selective(18) and hamming.selective(6)
     rows = frame(spark, planted(10))
+    kept = hamming.near_duplicate_anti_join(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 18)
+    assert "Generate" not in plan_of(kept)
     links = tiles.tile_links(rows, 18)
     assert links.count() < rows.count()
