@@ -99,3 +99,13 @@ def test_large_distances_list_no_values_of_bands(spark):
     assert "Generate" not in plan_of(kept)
     links = tiles.tile_links(rows, 18)
     assert links.count() < rows.count()
+
+
+def test_redundancy_of_tiles_is_that_of_all_pairs(spark, monkeypatch):
+    rows = frame(spark, planted(12))
+    monkeypatch.setattr(hamming, "hamming_pairs", lambda *_: pytest.fail("pairs by bands at a distance at which bands don't select"))
+    got = hamming.redundancy(rows, 18).first()
+    pairs = hamming.naive_pairs(rows, 18).select("a", "b")
+    ends = {r.node: r.component for r in connected_components(pairs).collect()}
+    clusters = len({ends.get(r.id, r.id) for r in rows.select("id").collect()})
+    assert (got.n, got.clusters, got.redundant, got.with_neighbour) == (72, clusters, 72 - clusters, len(ends))
