@@ -20,7 +20,7 @@ from tarnlake.session import materialize
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 50_000
-QUERY_SLICE = 2048
+SLICE_BYTES = 16 << 20
 _SCHEMA = "id long, y int, ref_id long, ref_y int, sim double"
 
 
@@ -32,6 +32,11 @@ def unit_rows(lists: pa.Array) -> np.ndarray:
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
+def slice_rows(references: int) -> int:
+    """Queries whose similarities to all these references take ``SLICE_BYTES``; finding the best of them takes three times that."""
+    return max(1, SLICE_BYTES // (8 * max(1, references)))
+
+
 def top_k(q: np.ndarray, r: np.ndarray, ref_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the k most similar of r (similarity down, then id up): positions and similarities."""
     k = min(k, len(r))
@@ -51,10 +56,11 @@ def top_k(q: np.ndarray, r: np.ndarray, ref_id: np.ndarray, k: int) -> tuple[np.
 
 
 def _neighbours(ids, y, q, ref_ids, ref_y, r, k) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(ids), QUERY_SLICE):
-        at, val = top_k(q[s : s + QUERY_SLICE], r, ref_ids, k)
+    rows = slice_rows(len(r))
+    for s in range(0, len(ids), rows):
+        at, val = top_k(q[s : s + rows], r, ref_ids, k)
         n, kk = at.shape
-        rep = lambda a: np.repeat(a[s : s + QUERY_SLICE], kk)
+        rep = lambda a: np.repeat(a[s : s + rows], kk)
         yield pa.RecordBatch.from_arrays([pa.array(rep(ids)), pa.array(rep(y).astype(np.int32)), pa.array(ref_ids[at].ravel()), pa.array(ref_y[at].ravel().astype(np.int32)), pa.array(val.ravel())], names=["id", "y", "ref_id", "ref_y", "sim"])
 
 
