@@ -87,20 +87,32 @@ def naive_pairs(rows: DataFrame, distance: int) -> DataFrame:
     return a.join(b, (F.col("a") < F.col("b")) & (near <= distance)).select("a", "b", near.alias("d"))
 
 
+def _links(unique: DataFrame, distance: int) -> DataFrame:
+    return hamming_pairs(unique, distance) if selective(distance) else tile_links(unique, distance)
+
+
 def hash_components(rows: DataFrame, distance: int) -> DataFrame:
     """(id, component): single-linkage clusters, named by their least id."""
     unique = materialize(rows.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")), "hashes")
-    links = hamming_pairs(unique, distance) if selective(distance) else tile_links(unique, distance)
-    label = connected_components(links).withColumnRenamed("node", "id")
+    label = connected_components(_links(unique, distance)).withColumnRenamed("node", "id")
     named = unique.join(label, "id", "left").select("hash", F.coalesce("component", "id").alias("component"))
     return rows.join(named, "hash", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def redundancy(rows: DataFrame, distance: int) -> DataFrame:
-    """n, clusters, redundant (n - clusters) and with_neighbour (rows that have another row near)."""
-    c = materialize(rows.join(hash_components(rows, distance), "id"), "clusters")
-    size = c.groupBy("component").agg(F.count("*").alias("m"))
-    return size.agg(F.sum("m").alias("n"), F.count("*").alias("clusters"), (F.sum("m") - F.count("*")).alias("redundant"), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)).alias("with_neighbour"))
+    """n, clusters, redundant (n - clusters) and with_neighbour (rows that have another row near).
+
+    Hashes are made once a row and counted; only the counts are joined to the clusters. A row without a hash is a cluster of its own.
+    """
+    counted = materialize(rows.groupBy("hash").agg(F.count("*").alias("m")), "hashes")
+    nodes = counted.where("hash is not null").select(F.col("hash").alias("id"), "hash")
+    label = connected_components(_links(nodes, distance)).select(F.col("node").alias("hash"), "component")
+    named = counted.where("hash is not null").join(label, "hash", "left")
+    size = named.groupBy(F.coalesce("component", "hash")).agg(F.sum("m").alias("m")).select("m", F.lit(1).cast("long").alias("clusters"))
+    size = size.unionByName(counted.where("hash is null").select(F.col("m"), F.col("m").alias("clusters")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    near = F.when(F.col("m") > F.col("clusters"), F.col("m"))
+    return size.agg(total("m").alias("n"), total("clusters").alias("clusters"), total(F.col("m") - F.col("clusters")).alias("redundant"), total(near).alias("with_neighbour"))
 
 
 def nearest_histogram(rows: DataFrame, cap: int = 32) -> DataFrame:

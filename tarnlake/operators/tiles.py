@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 TILE_ROWS = 16_384
 MOST_PARTS = 4096
 _ROWS, _COLUMNS = 256, 1024
+_CLOSE = 8
 
 
 def _near(x: np.ndarray, y: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -28,12 +29,28 @@ def _near(x: np.ndarray, y: np.ndarray, distance: int) -> Iterator[tuple[np.ndar
                 yield row + i, column + j
 
 
+def _adjacent(h: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the positions of hashes within the distance: of those that are close in the order of their rotated bits."""
+    for shift in range(1, 64, 4):
+        order = np.argsort(h << np.uint64(shift) | h >> np.uint64(64 - shift))
+        x = h[order]
+        for k in range(1, min(_CLOSE, len(x) - 1) + 1):
+            at = np.flatnonzero(np.bitwise_count(x[:-k] ^ x[k:]) <= distance)
+            yield order[at], order[at + k]
+
+
 def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
-def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least node of each of n nodes' components."""
+def _roots(h: np.ndarray, cut: int, distance: int) -> np.ndarray:
+    """The least position of each hash's component. The first ``cut`` hashes are compared with the others, or, where there are
+    no others, with each other.
+
+    Two hashes that are both in the largest component so far are not compared: they are linked already. What is near in the order
+    of some of their bits is linked first, so that most of a large component need no more.
+    """
+    n, own = len(h), cut == len(h)
     parent = np.arange(n)
 
     def find(nodes: np.ndarray) -> np.ndarray:
@@ -45,7 +62,7 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
                 return to
             to = onward
 
-    for i, j in pairs:
+    def join(i: np.ndarray, j: np.ndarray) -> None:
         a, b = find(i), find(j)
         apart = a != b
         while apart.any():  # each root points at its least neighbour; at least one pair is joined each time
@@ -53,6 +70,17 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
             np.minimum.at(parent, high, low)
             a, b = find(low), find(high)
             apart = a != b
+
+    for i, j in _adjacent(h, distance):
+        join(i, j)
+    for i in range(0, cut, _ROWS):
+        rows, columns = np.arange(i, min(i + _ROWS, cut)), np.arange(i if own else cut, n)
+        root = find(np.arange(n))
+        large = np.bincount(root).argmax()
+        inside = root[rows] == large
+        for r, c in ((rows[inside], columns[root[columns] != large]), (rows[~inside], columns)):
+            for x, y in _near(h[r], h[c], distance):
+                join(r[x], c[y])
     return find(np.arange(n))
 
 
@@ -72,7 +100,8 @@ def _dealt(rows: DataFrame, tiles: int):
 def tile_links(unique: DataFrame, distance: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): edges with the components of all pairs of hashes within the distance. ``unique``: id, hash, each hash once.
 
-    A tile links each of its rows to the first one of its component in the tile.
+    A tile links each of its rows to the least row of its component in the row's own block, and these two of a component to each
+    other: tiles of one block repeat most links, so few more than the rows are left when they are made distinct.
     """
     blocks = _blocks(unique, tile_rows)
     own = F.pmod(F.xxhash64("hash"), F.lit(blocks))
@@ -80,19 +109,15 @@ def tile_links(unique: DataFrame, distance: int, tile_rows: int = TILE_ROWS) ->
     rows = rows.select("id", "hash", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        own = t.column("own").to_numpy()
-        order = np.argsort(own, kind="stable")
-        cut = int((own == own[order[0]]).sum())
-        h = _unsigned(t.column("hash"))[order]
-        x, y = h[:cut], h[cut:]
-        if t.column("p")[0] == t.column("q")[0]:
-            root = _roots(len(h), _near(h, h, distance))
-        else:
-            root = _roots(len(h), ((i, j + cut) for i, j in _near(x, y, distance)))
-        at = np.flatnonzero(root != np.arange(len(h)))
-        ids = t.column("id")
-        return pa.table({"a": ids.take(pa.array(order[at])), "b": ids.take(pa.array(order[root[at]]))})
+        t = t.sort_by([("own", "ascending"), ("id", "ascending")]).combine_chunks()
+        own, ids = t.column("own").to_numpy(), t.column("id")
+        cut = int(np.searchsorted(own, own[0], "right"))
+        root = _roots(_unsigned(t.column("hash")), cut, distance)
+        of, first = np.unique(root[cut:], return_index=True)
+        to = np.concatenate([root[:cut], cut + first[np.searchsorted(of, root[cut:])]])
+        to[cut + first] = of  # the second block's least row of a component links to the first block's
+        at = np.flatnonzero(to != np.arange(len(to)))
+        return pa.table({"a": ids.take(pa.array(at)), "b": ids.take(pa.array(to[at]))})
 
     kind = unique.schema["id"].dataType.simpleString()
     return _dealt(rows, blocks * (blocks + 1) // 2).applyInArrow(run, f"a {kind}, b {kind}")

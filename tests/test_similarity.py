@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -109,3 +110,34 @@ def test_redundancy_of_tiles_is_that_of_all_pairs(spark, monkeypatch):
     ends = {r.node: r.component for r in connected_components(pairs).collect()}
     clusters = len({ends.get(r.id, r.id) for r in rows.select("id").collect()})
     assert (got.n, got.clusters, got.redundant, got.with_neighbour) == (72, clusters, 72 - clusters, len(ends))
+
+
+def test_redundancy_counts_each_row_once(spark):
+    """Rows of one id were joined with each other by it; rows without a hash are clusters of their own."""
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 5), (2, 4), (3, -1), (4, None), (5, None)], "id long, hash long")
+    assert tuple(hamming.redundancy(rows, 18).first()) == (7, 4, 3, 4)
+    assert tuple(hamming.redundancy(rows.where("false"), 18).first()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("cut", [700, 2000])
+def test_tiles_compare_few_pairs_of_a_large_component(monkeypatch, cut):
+    rng = np.random.default_rng(3)
+    center = rng.integers(0, 1 << 63, 1, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (1900, 6), np.uint64)
+    h = np.unique(np.concatenate([center ^ np.bitwise_xor.reduce(flips, 1), rng.integers(0, 1 << 63, 500, np.uint64)]))
+    h = rng.permutation(h)[:2000]
+    compared, near = [], tiles._near
+    monkeypatch.setattr(tiles, "_near", lambda x, y, d: compared.append(len(x) * len(y)) or near(x, y, d))
+    root = tiles._roots(h, cut, 18)
+    assert sum(compared) < 0.6 * cut * (len(h) - cut or len(h))
+    x, y = (h[:cut], h[cut:]) if cut < len(h) else (h, h)
+    for i, j in near(x, y, 18):
+        assert (root[i] == root[j + (cut if cut < len(h) else 0)]).all()
+    assert len(np.unique(root)) > 50
+
+
+def test_tiles_of_a_block_repeat_their_links(spark):
+    rng = np.random.default_rng(4)
+    hashes = {int(np.bitwise_xor.reduce(1 << rng.integers(0, 62, 6))) for _ in range(400)}
+    rows = frame(spark, sorted(hashes))
+    assert tiles.tile_links(rows, 18, 40).distinct().count() < 2 * rows.count()
