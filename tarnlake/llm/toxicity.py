@@ -265,21 +265,29 @@ class Scorer:
     def __init__(self, model: Model):
         self.weights = np.array(model.weights)
         self.by_ordinary, self.by_toxic = model.lengths()
-        self.known: dict[int, int] = {}
+        self.known, self.gain = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order: a dict of them takes ten times the memory
 
     def _gains(self, w: Words) -> np.ndarray:
         """Gain of each word of the slice; equal words are compressed once."""
         hashes, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        keys, known = hashes.tolist(), self.known
+        at = np.searchsorted(self.known, hashes)
+        met = np.zeros(len(hashes), bool)
+        inside = at < len(self.known)
+        met[inside] = self.known[at[inside]] == hashes[inside]
+        gains = np.zeros(len(hashes), np.int32)
+        gains[met] = self.gain[at[met]]
+        new = np.flatnonzero(~met)
         raw = w.data.tobytes()
         ordinary, toxic = self.by_ordinary.compress, self.by_toxic.compress
-        for k, a, b in zip(keys, w.start[first].tolist(), w.end[first].tolist(), strict=True):
-            if k not in known:
-                x = widen(window([raw[a:b]]))
-                known[k] = len(ordinary(x)) - len(toxic(x))
-        return np.array([known[k] for k in keys], np.float64)[back]
+        spans = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)
+        for k, (a, b) in zip(new.tolist(), spans, strict=True):
+            x = widen(window([raw[a:b]]))
+            gains[k] = len(ordinary(x)) - len(toxic(x))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.gain = hashes[new], gains[new]
+        else:
+            self.known, self.gain = np.insert(self.known, at[new], hashes[new]), np.insert(self.gain, at[new], gains[new])
+        return gains.astype(np.float64)[back]
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         w = words_of(texts, lower=True, apart=_APART)
