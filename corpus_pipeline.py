@@ -4,6 +4,7 @@ toxicity drops the documents that it predicts to be toxic; line dedup cleans tex
 n-gram Jaccard join keeps the least id of each group of near duplicates; mixing takes each source's words to its
 target; packing cuts what is left into sequences. All but the last return the columns of documents; extra columns
 pass through. Null texts are kept until mixing, which takes no words of them. Documents of a null id are in no group.
+Stages that send texts to Python workers bound the session's Arrow batches, as they are in memory beside the JVM's heap.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import jaccard, lines, mixing, packing, toxicity
-from tarnlake.session import materialize, table
+from tarnlake.session import bound_batches, materialize, table
 
 
 def _own(docs: DataFrame) -> list:
@@ -20,6 +21,7 @@ def _own(docs: DataFrame) -> list:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit_sample(docs, table(spark, sf_dir, "labels")))
 
 
@@ -30,6 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     found = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(materialize(found, "copies"), "doc_id", "left_anti").select(*_own(docs))
 
@@ -41,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.blocks import MESSAGE, NO_ID, UID_STEP, Blocks, cut, dumps, messages, per_block, per_bucket, planes, unplanes
-from tarnlake.llm.kernel import _run, mix, words_of
+from tarnlake.llm.kernel import _run, mix, slices, words_of
 from tarnlake.operators.components import connected_components
 from tarnlake.session import free, materialize, table
 
@@ -50,7 +50,18 @@ TILE = 256
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: (text number, hash), ordered by both, and the number of each text's."""
+    """Distinct shingles of each text: (text number, hash), ordered by both, and the number of each text's. Taken in
+    slices, as words need some fifty bytes a byte of text."""
+    found, done = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        doc, h, n = _shingles(part.column(0), k)
+        found.append((doc + done, h, n))
+        done += len(n)
+    doc, h, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    return doc, h, n
+
+
+def _shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words_of(texts, lower=True)
     n_texts = len(w.first) - 1
     if not len(w.hash):
@@ -71,6 +82,19 @@ def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, n
     return doc, h, np.bincount(doc, minlength=n_texts)
 
 
+def _sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The parity sketch of each text's shingles; of some texts at a time, as a count takes 64 times its bit."""
+    bit = (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros((len(n), SKETCH_BITS // 64), np.int64)
+    for a in range(0, len(n), 256):
+        b = min(a + 256, len(n))
+        own = slice(begin[a], begin[b])
+        odd = np.bincount((doc[own] - a) * SKETCH_BITS + bit[own], minlength=(b - a) * SKETCH_BITS) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64)
+    return out
+
+
 def _send_counts(buckets: int):
     def ask(block, ids, texts, _):
         _, h, _ = shingles(texts)
@@ -125,9 +149,7 @@ def _sets(buckets: int, percent: int):
         place[order] = at
         prefix, places, shared, sketch = ([None] * len(n) for _ in range(4))
         seen = set()
-        bit = (mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        odd = np.bincount(doc * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS).reshape(-1, SKETCH_BITS) & 1
-        odd = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+        odd = _sketches(doc, h, n)
         for d in np.flatnonzero(np.bincount(doc[chosen], minlength=len(n))) if len(h) else ():
             if (key := (n[d], h1[d], h2[d])) in seen:
                 continue  # a copy in this block; the first has the least uid

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: With it, the shuffle files of a write go as soon as the table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What an Arrow batch to a Python worker holds at most. Spark's own bound, 64 MB, is for each task: once in the JVM, outside
+#: its heap and up to three times while it grows, and once more in the worker.
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20
 
 
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -80,6 +84,15 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_BYTES at most; a lower bound stays. Results don't depend on it."""
+    try:
+        before = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCHES))
+        spark.conf.set(BATCHES, str(min(before, BATCH_BYTES)))
+    except PySparkException:
+        pass  # Spark versions without this bound
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs no rework.
 

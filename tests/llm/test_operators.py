@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tarnlake import session
 from tarnlake.llm import blocks, embeddings, jaccard, lines, mixing, packing, pii, quality, registry, substrings, toxicity, urls
 from tarnlake.llm.kernel import slices, words_of
 
@@ -597,6 +598,24 @@ def test_tokens_of_many_classes_go_by_tiles(spark, monkeypatch):
     assert got == {i: rows[c][0] for (i, _), c in zip(rows, comp, strict=True)}
 
 
+def test_memory_of_a_block(spark):
+    """Words of a whole block at once took 50 times its text, and sketches of many short texts 8 KB a text."""
+    long = pa.array([" ".join(f"w{i % 900}x{k}" for i in range(250)) for k in range(900)])
+    short = pa.array([f"only w{k} here" for k in range(20_000)])
+    for texts in (long, short):
+        tracemalloc.start()
+        (out,) = jaccard._sets(8, 80)(0, np.arange(len(texts)), texts, {})
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.num_rows == len(texts) and peak < 50_000_000
+    doc, h, n = jaccard.shingles(long)
+    one = [jaccard.shingles(long.slice(k, 1)) for k in (0, 450, 899)]
+    assert all((h[doc == k] == x).all() and n[k] == len(x) for k, (_, x, _) in zip((0, 450, 899), one, strict=True))
+    odd = np.bincount(doc * 512 + (jaccard.mix(h) % np.uint64(512)).astype(np.int64), minlength=len(n) * 512).reshape(-1, 512) & 1
+    assert (jaccard._sketches(doc, h, n) == np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)).all()
+    assert [len(x) for x in jaccard.shingles(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = {}
     for r in jaccard.jaccard_components(odd).collect():
@@ -760,6 +779,25 @@ def test_pipeline(spark, sf, documents):
     check_packing(last, plain_pieces([(r.doc_id, r.text) for r in docs.collect()], 4096), 4096)
 
 
+@pytest.mark.parametrize("stage", [s for k, s in corpus_pipeline.STAGES if k in ("toxicity", "n-gram Jaccard join", "best-fit packing")])
+def test_batches_to_workers_are_bounded(spark, sf, none, stage):
+    """A batch of texts held up to 64 MB, in the JVM and in the worker."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    before = spark.conf.get(session.BATCHES)
+    try:
+        for own, most in (("64m", session.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(session.BATCHES, own)
+            stage(spark, none, sf)
+            sizes = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 3000)).mapInArrow(run, "bytes long").collect()
+            assert max(r.bytes for r in sizes) < 1.1 * most and sum(r.bytes for r in sizes) > 15_000_000
+    finally:
+        spark.conf.set(session.BATCHES, before)
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, odd, sf).collect()
