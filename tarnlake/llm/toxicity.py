@@ -5,12 +5,15 @@ ones. A window of text is compressed with either; its gain is how much shorter t
 largest gains are calibrated to a score by logistic regression on the labelled training rows.
 
 Of a toxic text only a few words are toxic, and only the text is labelled. So the toxic windows are found in rounds: the
-first toxic dictionary is trained on all windows of toxic texts (``SPAN`` words, every word begins one). A word's windows
+first toxic dictionary is trained on windows of toxic texts (``SPAN`` words, every word begins one). A word's windows
 are those around it, each pair of neighbours once, so copies of a text add nothing; where they gain more in the mean
-than nearly all ordinary words' windows do, the word's windows train the next, smaller dictionary. Texts are cut in
-halves for this: a window is judged by the dictionary of the other half, so what one text alone has gains nothing.
+than nearly all ordinary words' windows do, and than its own in ordinary texts, the word's windows train the next, smaller
+dictionary. Texts are cut in halves for this: a window is judged by the dictionary of the other half, so what one text
+alone has gains nothing. A dictionary of windows is trained on as many around each word, so that frequent words don't
+crowd out those of a language with few toxic texts.
 The last toxic dictionary is trained on the words that these windows are around, as often as they occur, and texts are
-scored by windows of one word: on longer ones ordinary neighbours outweigh a toxic word (figures in the README).
+scored by windows of one word: on longer ones ordinary neighbours outweigh a toxic word (figures in the README). For this
+both sides are compressed by optimal parsing: a fast level passes over matches, which of one word are most of its gain.
 
 Words are lower-cased and parted at white space and punctuation; each byte is written as ``WIDTH`` ones, so that a match
 of a short word outweighs a frame.
@@ -52,6 +55,9 @@ TOXIC_BYTES = (200_000, 40_000)
 WORD_BYTES = 8_000
 #: Windows that a dictionary is trained on, at most, evenly spread.
 TRAINED_ON = 40_000
+#: zstandard's level for the windows that find toxic words, and for the words that score a text.
+LEVEL = 3
+WORD_LEVEL = 16
 #: Gains of a text that are features.
 TOP = 3
 #: A gain that stands for one that a text doesn't have.
@@ -89,10 +95,10 @@ def train(windows: list[bytes], size: int):
 class Lengths:
     """Compressed lengths of windows with a dictionary (the bytes of a trained one, or of none)."""
 
-    def __init__(self, dictionary: bytes):
+    def __init__(self, dictionary: bytes, level: int = LEVEL):
         import zstandard as zs
 
-        p = zs.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        p = zs.ZstdCompressionParameters.from_level(level, source_size=64, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
         self.compress = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=p).compress
 
     def of(self, windows: list[bytes]) -> np.ndarray:
@@ -151,10 +157,10 @@ def _cross_gains(w: Windows, base: np.ndarray, halves: list) -> np.ndarray:
     return out
 
 
-def _halves(of_half, size: int) -> list | None:
+def _halves(of_half, size: int, level: int = LEVEL) -> list | None:
     """Lengths by the dictionaries of either half's windows."""
     found = [train(of_half(h), size) for h in (0, 1)]
-    return None if None in found else [Lengths(d.as_bytes()) for d in found]
+    return None if None in found else [Lengths(d.as_bytes(), level) for d in found]
 
 
 def _middles(w: Windows, places: dict[bytes, int]) -> np.ndarray:
@@ -166,6 +172,22 @@ def _middles(w: Windows, places: dict[bytes, int]) -> np.ndarray:
     return np.array(middle, np.int64)
 
 
+def _evenly(middle: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Of the windows that are ``on`` as many around each word, evenly spread, about TRAINED_ON in all; none around words of
+    under SUPPORT windows, which can't be found to be toxic. Without other words every window."""
+    often = on & (np.bincount(middle) >= SUPPORT)[middle] if len(middle) else on
+    if not often.any():
+        return on
+    at = np.flatnonzero(often)
+    at = at[np.argsort(middle[at], kind="stable")]
+    word, n = middle[at], np.bincount(middle[at])
+    each = max(1, TRAINED_ON // np.count_nonzero(n))
+    rank = np.arange(len(at)) - np.searchsorted(word, word)
+    picked = np.zeros(len(on), bool)
+    picked[at[(n[word] <= each) | (rank * each // n[word] != (rank - 1) * each // n[word])]] = True
+    return picked
+
+
 def _means(middle: np.ndarray, gains: np.ndarray, words: int) -> np.ndarray:
     """Each word's mean gain over the windows around it, less SURE standard errors; -inf for words of under SUPPORT windows."""
     n = np.bincount(middle, minlength=words)
@@ -176,20 +198,21 @@ def _means(middle: np.ndarray, gains: np.ndarray, words: int) -> np.ndarray:
 
 def _toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], by_ordinary: Lengths) -> list[list[bytes]] | None:
     """For either half the toxic words, once for each window around them: those whose windows gain more in the mean than
-    nearly all ordinary words' do."""
+    nearly all ordinary words' do, and by as much more than their own in ordinary texts."""
     t, o = Windows(toxic, SPAN), Windows(ordinary, SPAN)
     t_base, o_base = by_ordinary.of(t.windows), by_ordinary.of(o.windows)
     places: dict[bytes, int] = {}
     t_middle, o_middle = _middles(t, places), _middles(o, places)
     on = np.ones(len(t), bool)
     for size in TOXIC_BYTES:
-        halves = _halves(lambda h, on=on: t.pick(on & (t.half == h)), size)
+        halves = _halves(lambda h, on=on: t.pick(_evenly(t_middle, on & (t.half == h))), size)
         if halves is None:
             return None
         usual = _means(o_middle, _cross_gains(o, o_base, halves), len(places))
+        beside = np.maximum(usual, 0)
         usual = usual[usual > -np.inf]
         least = max(LEAST_GAIN, float(np.quantile(usual, ORDINARY_SHARE))) if len(usual) else LEAST_GAIN
-        on = (_means(t_middle, _cross_gains(t, t_base, halves), len(places)) >= least)[t_middle]
+        on = (_means(t_middle, _cross_gains(t, t_base, halves), len(places)) - beside >= least)[t_middle]
     words = [window([x]) for x in places]
     return [[words[k] for k in t_middle[on & (t.half == h)].tolist()] for h in (0, 1)]
 
@@ -201,7 +224,7 @@ class Model:
     weights: tuple[float, ...]  # intercept, the TOP largest gains of different words, log of 1 + words
 
     def lengths(self) -> tuple[Lengths, Lengths]:
-        return Lengths(self.ordinary), Lengths(self.toxic)
+        return Lengths(self.ordinary, WORD_LEVEL), Lengths(self.toxic, WORD_LEVEL)
 
 
 def features(gains: np.ndarray, words: int) -> list[float]:
@@ -219,19 +242,21 @@ def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model
     del known, texts
     if not toxic or not ordinary:
         return None
-    base = train(Windows(ordinary, SPAN).windows, ORDINARY_BYTES)
+    o = Windows(ordinary, SPAN)
+    base = train(o.pick(_evenly(_middles(o, {}), np.ones(len(o), bool))), ORDINARY_BYTES)
+    del o
     if base is None:
         return None
-    by_ordinary = Lengths(base.as_bytes())
     release()
-    cores = _toxic_words(toxic, ordinary, by_ordinary)
+    cores = _toxic_words(toxic, ordinary, Lengths(base.as_bytes()))
     if cores is None:
         return None
     release()
-    halves = _halves(lambda h: cores[h], WORD_BYTES)
+    halves = _halves(lambda h: cores[h], WORD_BYTES, WORD_LEVEL)
     last = train(cores[0] + cores[1], WORD_BYTES)
     if halves is None or last is None:
         return None
+    by_ordinary = Lengths(base.as_bytes(), WORD_LEVEL)
     t, o = Windows(toxic, 1), Windows(ordinary, 1)
     t_base, o_base = by_ordinary.of(t.windows), by_ordinary.of(o.windows)
     by_half = [t_base - halves[1 - h].of(t.windows) for h in (0, 1)]  # a text is judged by the other half's dictionary
